@@ -25,6 +25,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import BASE, LOWER, mix64, powers, row_chunks, text_buffer, words
 
@@ -206,7 +207,7 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
     """docs with lang_pred and score."""
     names = docs.columns
     at = names.index("text")
-    schema = docs.schema.add("lang_pred", "string").add("score", "double")
+    schema = StructType(docs.schema.fields).add("lang_pred", "string").add("score", "double")
     known = docs.sparkSession.sparkContext.broadcast(model)  # pieces by languages: bounded by the vocabulary
 
     def run(batches):

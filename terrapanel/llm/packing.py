@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .bpe import coder
 from .common import materialize, shuffle_partitions
@@ -193,7 +194,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, keep: tuple[str, ...] = ())
                 off[at] = r[i, 3] + inside % r[i, 1] * k
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(seq), pa.array(off)], [*names, "sequence_id", "offset"])
 
-    schema = ranked.select(*names).schema.add("sequence_id", "long").add("offset", "long")
+    schema = StructType(ranked.select(*names).schema.fields).add("sequence_id", "long").add("offset", "long")
     return ranked.select(*names, "rank").mapInArrow(place, schema)
 
 
