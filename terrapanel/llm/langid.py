@@ -207,7 +207,7 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
     """docs with lang_pred and score."""
     names = docs.columns
     at = names.index("text")
-    schema = StructType(docs.schema.fields).add("lang_pred", "string").add("score", "double")
+    schema = StructType(list(docs.schema.fields)).add("lang_pred", "string").add("score", "double")
     known = docs.sparkSession.sparkContext.broadcast(model)  # pieces by languages: bounded by the vocabulary
 
     def run(batches):

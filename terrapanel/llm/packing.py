@@ -194,7 +194,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, keep: tuple[str, ...] = ())
                 off[at] = r[i, 3] + inside % r[i, 1] * k
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(seq), pa.array(off)], [*names, "sequence_id", "offset"])
 
-    schema = StructType(ranked.select(*names).schema.fields).add("sequence_id", "long").add("offset", "long")
+    schema = StructType(list(ranked.select(*names).schema.fields)).add("sequence_id", "long").add("offset", "long")
     return ranked.select(*names, "rank").mapInArrow(place, schema)
 
 
