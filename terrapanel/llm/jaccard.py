@@ -32,8 +32,10 @@ from .common import broadcast_if_small, connected_components, materialize, mix64
 
 #: A hash is common from this share of the documents on; common hashes come last in the order.
 COMMON = 0.001
-#: Bits of a signature, cheap keys and minima in each.
-BITS, CHEAP, MINIMA = 1024, 4, 2
+#: Bits of the signatures of sets of at most as many hashes, and of larger ones.
+BITS, WIDE = 1024, 4096
+#: Cheap keys, and minima in each.
+CHEAP, MINIMA = 4, 2
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -61,8 +63,32 @@ def shingle_sets(col: pa.Array, size: int):
 
 
 def signature(s: np.ndarray) -> bytes:
-    """Parity bitmap: each hash flips one bit."""
-    return np.packbits((np.bincount((s >> np.uint64(20)).astype(np.int64) & (BITS - 1), minlength=BITS) & 1).astype(np.uint8)).tobytes()
+    """Parity bitmap: each hash flips one bit. Halves of a wider one folded together (xor) are the narrower one."""
+    bits = BITS if len(s) <= BITS else WIDE
+    return np.packbits((np.bincount((s >> np.uint64(20)).astype(np.int64) & (bits - 1), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def may_link(n: np.ndarray, m: np.ndarray, a: list[bytes], b: list[bytes], percent: int) -> np.ndarray:
+    """Whether sets of n and m hashes with signatures a and b can be similar enough."""
+    total = n + m
+    keep = (percent * np.maximum(n, m) <= 100 * np.minimum(n, m))
+    for wide in (False, True):
+        at = np.flatnonzero(keep & (np.minimum(n, m) > BITS)) if wide else np.flatnonzero(keep)
+        if len(at):
+            x, y = (_bitmaps([z[i] for i in at], wide) for z in (a, b))
+            most = (total[at] - np.bitwise_count(x ^ y).sum(1, dtype=np.int64)) // 2
+            keep[at] = 100 * most >= percent * (total[at] - most)
+    return keep
+
+
+def _bitmaps(sigs: list[bytes], wide: bool) -> np.ndarray:
+    """Signatures as rows of 64-bit words; of WIDE bits each, or folded to BITS."""
+    if wide:
+        return np.frombuffer(b"".join(sigs), np.uint64).reshape(-1, WIDE // 64)
+    out = np.zeros((len(sigs), BITS // 64), np.uint64)
+    for i, x in enumerate(sigs):
+        out[i] = np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, BITS // 64), axis=0)
+    return out
 
 
 def cheap_keys(s: np.ndarray) -> list[int]:
@@ -126,6 +152,19 @@ def profiles(docs: DataFrame, size: int, percent: int, common: np.ndarray) -> Da
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, class_key binary, sig binary, cheap array<long>, prefix array<long>")
 
 
+def possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that the bit counts of sets' (doc_id, n, sig) leave possible."""
+    sides = [sets.select(F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), F.col("sig").alias(f"s{c}")) for c in "ab"]
+
+    def test(batches):
+        for batch in batches:
+            mask = pa.array(may_link(batch.column("na").to_numpy(), batch.column("nb").to_numpy(), batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), percent))
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
+
+    joined = pairs.distinct().join(sides[0], "a").join(sides[1], "b")
+    return joined.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(test, "a long, b long")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets' similarity is percent / 100 or more, by intersecting their sorted arrays."""
     pairs = materialize(pairs.distinct(), "pairs")
@@ -160,18 +199,20 @@ def _tile_pairs(percent: int):
 
     def pairs_of(tile, home, n, comp, doc, sig):
         found = []
+        narrow = _bitmaps(sig, False)
         for o in range(1, len(tile)):
             i = np.arange(len(tile) - o)
             near = (tile[i] == tile[i + o]) & (percent * n[i + o] <= 100 * n[i])
             if not near.any():
                 break
             i = i[near & (home[i] | home[i + o]) & (comp[i] != comp[i + o])]
+            j = i + o
+            total = n[i] + n[j]
+            most = (total - np.bitwise_count(narrow[i] ^ narrow[j]).sum(1, dtype=np.int64)) // 2  # overlap's upper bound
+            i = i[100 * most >= percent * (total - most)]
             if len(i):
                 j = i + o
-                apart = np.bitwise_count(sig[i] ^ sig[j]).sum(1, dtype=np.int64)
-                total = n[i] + n[j]
-                most = (total - apart) // 2  # overlap's upper bound
-                i = i[100 * most >= percent * (total - most)]
+                i = i[may_link(n[i], n[j], [sig[x] for x in i], [sig[x] for x in j], percent)]
                 found.append(np.stack([np.minimum(doc[i], doc[i + o]), np.maximum(doc[i], doc[i + o])], 1))
         return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
 
@@ -180,7 +221,7 @@ def _tile_pairs(percent: int):
 
         def flush(rows: pa.Table):
             a = [rows.column(c).to_numpy() for c in ("key", "band", "home", "n", "comp", "doc_id")]
-            sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint64).reshape(-1, BITS // 64)
+            sig = rows.column("sig").to_pylist()
             tile = np.cumsum(np.concatenate([[0], (a[0][1:] != a[0][:-1]) | (a[1][1:] != a[1][:-1])]))
             p = pairs_of(tile, a[2].astype(bool), a[3], a[4], a[5], sig)
             return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], ["a", "b"])
@@ -219,7 +260,8 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
     keys = reps.select("doc_id", "n", F.explode("cheap").alias("key"))
     first = keys.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("f"), F.count("*").alias("c")).where("c > 1").select("key", "f")
     star = keys.join(first, "key").where("f.doc_id <> doc_id").where((percent * F.col("n") <= 100 * F.col("f.n")) & (percent * F.col("f.n") <= 100 * F.col("n")))
-    links = materialize(verified(star.select(F.col("f.doc_id").alias("a"), F.col("doc_id").alias("b")), docs, size, percent), "links")
+    star = possible(star.select(F.col("f.doc_id").alias("a"), F.col("doc_id").alias("b")), reps.select("doc_id", "n", "sig"), percent)
+    links = materialize(verified(star, docs, size, percent), "links")
     comps = connected_components(links)
 
     named = reps.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
