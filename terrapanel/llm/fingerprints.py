@@ -1,7 +1,7 @@
 """Document fingerprints: a canonical exact digest, by DataFrame functions only.
 
-Canonical form: NFKC, case folding (upper, then lower, then NFKC again), runs of
-white space as one blank, none at the ends. The digest is two xxhash64 values of
+Canonical form: NFKC, Spark's upper and then lower case, NFKC again, runs of
+Unicode white space as one blank, none at the ends. The digest is two xxhash64 values of
 it (128 bits). Buckets of equal digests are compared by their bytes: a bucket
 holding two different canonical texts gets the SHA-256 of the text appended, so
 that equal fingerprints mean equal canonical texts.
@@ -17,22 +17,25 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, shuffle_partitions
+from .common import broadcast_if_small, materialize, shuffle_partitions
 
 #: ICU's static normaliser, which Spark itself carries for its collations.
 NORMALIZER = "com.ibm.icu.text.Normalizer"
-#: Characters whose texts NFKC can leave alone: only ASCII needs no call.
-_ASCII = r"^[\x00-\x7f]*$"
-
-
 def nfkc(text: Column) -> Column:
     full = F.call_function("reflect", F.lit(NORMALIZER), F.lit("compose"), text, F.lit(True))
-    return F.when(F.octet_length(text) == F.length(text), text).otherwise(full)
+    return F.when(F.octet_length(text) == F.length(text), text).otherwise(full)  # ASCII is normal
+
+
+def with_canonical(rows: DataFrame, text: str, name: str) -> DataFrame:
+    """Adds the canonical form of a text column, each step a column of its own so that none is evaluated twice."""
+    steps = rows.withColumn(name, nfkc(F.coalesce(F.col(text), F.lit(""))))
+    steps = steps.withColumn(name, nfkc(F.lower(F.upper(F.col(name)))))
+    return steps.withColumn(name, F.trim(F.regexp_replace(name, r"(?U)\s+", " ")))
 
 
-def canonical(text: Column) -> Column:
-    folded = nfkc(F.lower(F.upper(nfkc(F.coalesce(text, F.lit(""))))))
-    return F.trim(F.regexp_replace(folded, r"[\s\u0085   -     　]+", " "))
+def with_digest(rows: DataFrame, text: str, name: str) -> DataFrame:
+    """Adds the digest of a text column's canonical form."""
+    return with_canonical(rows, text, "canon").withColumn(name, digest(F.col("canon"))).drop("canon")
 
 
 def digest(canon: Column) -> Column:
@@ -40,31 +43,40 @@ def digest(canon: Column) -> Column:
     return F.lower(F.concat(*wide))
 
 
-def collisions(rows: DataFrame, text: str, fp: str) -> DataFrame:
-    """Digests shared by different canonical texts, found by comparing bytes inside buckets of two rows or more."""
-    again = rows.groupBy(fp).agg(F.count("*").alias("copies")).where("copies > 1").select(fp)
+def collisions(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """Digests (fp) of rows (doc_id, fp) that stand for different canonical texts in docs (doc_id, text).
+
+    Only buckets of two rows or more are read again; a bucket's least and
+    greatest canonical text, combined before the shuffle, are the same bytes or
+    it is a collision.
+    """
+    again = rows.groupBy("fp").agg(F.count("*").alias("copies")).where("copies > 1").select("fp")
     n = again.count()
     if not n:
         return again
-    some = rows.join(broadcast_if_small(again, n, 500_000), fp, "left_semi").select(fp, canonical(F.col(text)).alias("canon"))
-    # the least and the greatest canonical text of a bucket, combined before the shuffle, are equal bytes or it is a collision
-    return some.groupBy(fp).agg(F.min("canon").alias("low"), F.max("canon").alias("high")).where("low <> high").select(fp)
-
-
-def exact_groups(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) with fingerprint, copies and keeper (smallest doc_id of the group)."""
-    rows = docs.select("doc_id", "text", digest(canonical(F.col("text"))).alias("fp"))
-    rows = _resolved(rows, collisions(rows, "text", "fp"), "text", "fp").select("doc_id", F.col("fp").alias("fingerprint"))
-    groups = rows.groupBy("fingerprint").agg(F.count("*").alias("copies"), F.min("doc_id").alias("keeper"))
-    return rows.join(groups, "fingerprint")
+    ids = rows.join(broadcast_if_small(again, n, 500_000), "fp", "left_semi").select("doc_id").distinct()
+    some = docs.join(broadcast_if_small(ids, ids.count()), "doc_id", "left_semi")
+    some = with_canonical(some, "text", "canon").withColumn("fp", digest(F.col("canon")))
+    return some.groupBy("fp").agg(F.min("canon").alias("low"), F.max("canon").alias("high")).where("low <> high").select("fp")
 
 
-def _resolved(rows: DataFrame, bad: DataFrame, text: str, fp: str) -> DataFrame:
+def _resolved(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """rows (doc_id, fp, ...) with the SHA-256 of the canonical text appended to colliding digests."""
+    bad = collisions(rows.select("doc_id", "fp"), docs).withColumn("bad", F.lit(True))
     n = bad.count()
     if not n:
         return rows
-    marked = rows.join(broadcast_if_small(bad.withColumn("bad", F.lit(True)), n), fp, "left")
-    return marked.withColumn(fp, F.when(F.col("bad"), F.concat(F.col(fp), F.lit("-"), F.sha2(canonical(F.col(text)), 256))).otherwise(F.col(fp))).drop("bad")
+    texts = with_canonical(docs, "text", "canon").withColumn("fp", digest(F.col("canon"))).join(broadcast_if_small(bad, n), "fp", "left_semi")
+    exact = texts.select("doc_id", "fp", F.sha2("canon", 256).alias("exact")).distinct()
+    return rows.join(exact, ["doc_id", "fp"], "left").withColumn("fp", F.concat_ws("-", "fp", "exact")).drop("exact")
+
+
+def exact_groups(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text): doc_id, fingerprint, copies and keeper (smallest doc_id of the group)."""
+    docs = docs.select("doc_id", "text")
+    rows = _resolved(materialize(with_digest(docs, "text", "fp").select("doc_id", "fp"), "digests"), docs).withColumnRenamed("fp", "fingerprint")
+    groups = rows.groupBy("fingerprint").agg(F.count("*").alias("copies"), F.min("doc_id").alias("keeper"))
+    return rows.join(groups, "fingerprint")
 
 
 def _bucket(column: Column, bounds: list) -> Column:
@@ -79,38 +91,34 @@ def _bucket(column: Column, bounds: list) -> Column:
     return F.when(column.isNull(), 0).otherwise(tree(0, len(bounds)))
 
 
-def with_next(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """Each row with the named columns of the next row by doc_id as next_<column>; after the last comes the first.
+def with_next(rows: DataFrame) -> DataFrame:
+    """rows (doc_id, text) with fp, and text and fp of the next row by doc_id; after the last comes the first.
 
-    Rows are dealt to ranges of doc_id; each range also gets the first row of
-    the range after it, so no task sees more than its range.
+    Rows are dealt to ranges of doc_id, four for each shuffle partition; each
+    range also gets the first row of the range after it, so no task sees more.
     """
     spark = rows.sparkSession
-    parts = shuffle_partitions(spark)
-    shares = [(i + 1) / parts for i in range(parts - 1)]
-    bounds = sorted({x for x in (rows.agg(F.percentile_approx("doc_id", shares, 10 * parts)).head()[0] or [])}) if shares else []
+    n = 4 * shuffle_partitions(spark)
+    shares = [(i + 1) / n for i in range(n - 1)]
+    bounds = sorted(set(rows.agg(F.percentile_approx("doc_id", shares, 10 * n)).head()[0] or []))
     placed = rows.withColumn("range", _bucket(F.col("doc_id"), bounds)).withColumn("order", F.xxhash64("text"))
-    firsts = placed.select("range", "doc_id", "order").groupBy("range").agg(F.min(F.struct("doc_id", "order")).alias("f")).orderBy("range").collect()
-    if not firsts:
-        return rows.select("*", *[F.col(c).alias(f"next_{c}") for c in columns])
-    # one row for each range (as many as shuffle partitions): the first of the next range belongs to this one, too
-    guests = [(a.range, b.f.doc_id, b.f.order) for a, b in zip(firsts, [*firsts[1:], firsts[0]], strict=True)]
+    firsts = placed.groupBy("range").agg(F.min(F.struct("doc_id", "order")).alias("f")).orderBy("range").collect()
+    # one row for each range (four for each shuffle partition): the first of the next range belongs to this one, too
+    guests = [(a.range, b.f.doc_id, b.f.order) for a, b in zip(firsts, [*firsts[1:], *firsts[:1]], strict=True)]
     guests = spark.createDataFrame(guests, "to int, gid long, gorder long")
     copied = placed.join(F.broadcast(guests), placed["doc_id"].eqNullSafe(guests["gid"]) & (placed["order"] == guests["gorder"]))
-    copied = copied.dropDuplicates(["to"]).withColumn("range", F.col("to")).select(*placed.columns, F.lit(1).alias("guest"))
-    both = placed.withColumn("guest", F.lit(0)).unionByName(copied).repartitionByRange(parts, "range")
+    copied = copied.dropDuplicates(["to"]).select("doc_id", "text", F.col("to").alias("range"), "order", F.lit(1).alias("guest"))
+    both = with_digest(placed.withColumn("guest", F.lit(0)).unionByName(copied), "text", "fp")
     w = W.partitionBy("range").orderBy("guest", "doc_id", "order")
-    out = both.select(*rows.columns, "guest", *[F.lead(c).over(w).alias(f"next_{c}") for c in columns])
+    out = both.select("doc_id", "text", "fp", "guest", F.lead("text").over(w).alias("next_text"), F.lead("fp").over(w).alias("next_fp"))
     return out.where("guest = 0").drop("guest")
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = docs.withColumn("fp", digest(canonical(F.col("text"))))
-    bad = collisions(rows, "text", "fp")
-    rows = with_next(_resolved(rows, bad, "text", "fp"), ["text", "fp"])
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     n, half = F.length("text"), F.floor(F.length("text") / 2).cast("int")
-    rows = rows.withColumns({"n_chars": n.cast("long"), "edited": F.concat(F.col("text").substr(F.lit(1), n - half), F.col("next_text").substr(F.lit(1), half))})
+    rows = with_next(docs).withColumns({"n_chars": n.cast("long"), "edited": F.concat(F.col("text").substr(F.lit(1), n - half), F.col("next_text").substr(F.lit(1), half))})
+    rows = with_digest(rows.drop("text", "next_text").withColumn("edited_sha256", F.sha2("edited", 256)), "edited", "edited_fp").drop("edited")
     like = lambda a, b: (F.col(a) == F.col(b)).cast("double")
-    rows = rows.withColumn("edited_fingerprint", F.when(F.col("edited") == F.col("text"), F.col("fp")).otherwise(digest(canonical(F.col("edited")))))
-    return rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.col("fp").alias("fingerprint"), "edited_fingerprint", like("fp", "edited_fingerprint").alias("near_edited"), like("fp", "next_fp").alias("near_next"))
+    rows = rows.select("doc_id", "n_chars", "edited_sha256", "fp", "edited_fp", like("fp", "edited_fp").alias("near_edited"), like("fp", "next_fp").alias("near_next"))
+    return _resolved(materialize(rows, "digests"), docs).withColumnsRenamed({"fp": "fingerprint", "edited_fp": "edited_fingerprint"})
