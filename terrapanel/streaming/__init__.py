@@ -1,0 +1 @@
+"""No operator of this library is a stream; the folder is kept for sources that become streams."""
