@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import worker_cache
+from .common import tidy, worker_cache
 
 VOCABULARY = "byte_bpe_50k"
 #: A chunk ends where the rolling hash of the last WINDOW bytes has MASK's bits zero: 2 KB on average.
@@ -186,6 +186,7 @@ def coder() -> Coder:
 def with_ids(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) with ids (array of int) and the decoded text: the operator's general form."""
 
+    @tidy
     def run(batches):
         c = coder()
         for batch in batches:
@@ -198,6 +199,7 @@ def with_ids(docs: DataFrame) -> DataFrame:
 def digests(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text): doc_id, n_tokens, ids_sha256, decoded_sha256, from the same encoder and decoder."""
 
+    @tidy
     def run(batches):
         c = coder()
         for batch in batches:

@@ -24,6 +24,29 @@ def worker_cache() -> dict:
     return sys.modules.setdefault("_terrapanel_worker", types.ModuleType("_terrapanel_worker")).__dict__
 
 
+def release() -> None:
+    """Give memory that this worker no longer uses back to the system: idle workers stay, and share their executor's limit."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library: nothing to trim
+
+
+def tidy(stage):
+    """Wraps a function over Arrow batches so that memory is released after its last batch."""
+
+    def run(batches):
+        try:
+            yield from stage(batches)
+        finally:
+            release()
+
+    return run
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder name in the shared folder spark.checkpoint.dir; a local one only where that is unset."""
     top = spark.conf.get("spark.checkpoint.dir", None)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, connected_components, materialize, mix64, row_chunks, shuffle_partitions, text_buffer, words
+from .common import broadcast_if_small, connected_components, materialize, mix64, row_chunks, shuffle_partitions, text_buffer, tidy, words
 
 #: A hash is common from this share of the documents on; common hashes come last in the order.
 COMMON = 0.001
@@ -111,6 +111,7 @@ def common_hashes(docs: DataFrame, size: int, n_docs: int) -> np.ndarray:
     order is a matter of speed, any gives the same links.
     """
 
+    @tidy
     def run(batches):
         for batch in batches:
             sets = list(shingle_sets(batch.column(0), size))
@@ -127,6 +128,7 @@ def profiles(docs: DataFrame, size: int, percent: int, common: np.ndarray) -> Da
     """doc_id, n, class_key (of equal sets), sig, cheap (keys), prefix (hashes)."""
     known = docs.sparkSession.sparkContext.broadcast((np.sort(common), np.argsort(common)))
 
+    @tidy
     def run(batches):
         import xxhash
 
@@ -156,6 +158,7 @@ def possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that the bit counts of sets' (doc_id, n, sig) leave possible."""
     sides = [sets.select(F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), F.col("sig").alias(f"s{c}")) for c in "ab"]
 
+    @tidy
     def test(batches):
         for batch in batches:
             mask = pa.array(may_link(batch.column("na").to_numpy(), batch.column("nb").to_numpy(), batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), percent))
@@ -172,6 +175,7 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
     n = ids.count()
     some = docs.join(broadcast_if_small(ids, n), "doc_id", "left_semi").dropDuplicates(["doc_id"]) if n > 2_000_000 else docs.join(F.broadcast(ids), "doc_id", "left_semi")
 
+    @tidy
     def as_sets(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch.column(1), size)], pa.binary())], ["doc_id", "s"])
@@ -179,6 +183,7 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
     sets = some.mapInArrow(as_sets, "doc_id long, s binary")
     joined = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
 
+    @tidy
     def test(batches):
         for batch in batches:
             keep = []
@@ -216,6 +221,7 @@ def _tile_pairs(percent: int):
                 found.append(np.stack([np.minimum(doc[i], doc[i + o]), np.maximum(doc[i], doc[i + o])], 1))
         return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
 
+    @tidy
     def run(batches):
         kept: list[pa.RecordBatch] = []
 

@@ -27,7 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import BASE, LOWER, mix64, powers, row_chunks, text_buffer, words
+from .common import BASE, LOWER, mix64, powers, row_chunks, text_buffer, tidy, words
 
 VOCABULARY = "piece_bpe_32k.model"
 MAX_PIECE, MAX_WORD = 8, 32
@@ -167,7 +167,7 @@ def fit(texts: list[str], langs: list[str], rounds: int = ROUNDS) -> dict:
 def predict(model: dict, table: PieceTable, col: pa.Array) -> tuple[list[str], list[float]]:
     names, out, scores = model["langs"], [], []
     buf, offsets = text_buffer(col)
-    for a, b in row_chunks(offsets, 1 << 23):
+    for a, b in row_chunks(offsets, 1 << 21):
         part, at = buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
         total, count = np.zeros((b - a, len(names))), np.bincount([], minlength=b - a)
         if names and len(part):
@@ -210,6 +210,7 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
     schema = StructType(list(docs.schema.fields)).add("lang_pred", "string").add("score", "double")
     known = docs.sparkSession.sparkContext.broadcast(model)  # pieces by languages: bounded by the vocabulary
 
+    @tidy
     def run(batches):
         model = known.value
         table = PieceTable(read_pieces())

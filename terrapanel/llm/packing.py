@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .bpe import coder
-from .common import materialize, shuffle_partitions
+from .common import materialize, shuffle_partitions, tidy
 
 CAPACITY, END = 1024, 2
 #: Rounds of multiplicative weights at most, and how far a round moves the weights.
@@ -140,6 +140,7 @@ def pieces_of(docs: DataFrame, capacity: int = CAPACITY, keep: tuple[str, ...] =
     """doc_id, piece, start, length, ids_crc32 of all pieces of docs (doc_id, text), and the ids if asked for by keep."""
     with_ids = "ids" in keep
 
+    @tidy
     def run(batches):
         c = coder()
         for batch in batches:
@@ -179,6 +180,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, keep: tuple[str, ...] = ())
     ranked = cut.withColumn("nth", nth).join(base, ["bucket", "length"]).withColumn("rank", (F.col("base") + F.col("nth") - 1).cast("long"))
     names = [c for c in cut.columns if c != "bucket"]
 
+    @tidy
     def place(batches):
         runs = known.value
         for batch in batches:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import worker_cache
+from .common import tidy, worker_cache
 
 KINDS = ("email", "ip", "card", "phone", "url", "secret")
 BASE_KINDS = KINDS[:4]
@@ -220,6 +220,7 @@ _FOUND = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string
 def with_spans(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) judged: doc_id, counts of the base kinds, base_sha256 and all spans."""
 
+    @tidy
     def judge(batches):
         for batch in batches:
             rows = []

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import row_chunks, text_buffer
+from .common import row_chunks, text_buffer, tidy
 from .langid import held_out
 
 FILTERS, EMBED, PAIRS = 16, 8, 3
@@ -173,6 +173,7 @@ def score(docs: DataFrame, model: dict | None) -> DataFrame:
     """docs (doc_id, text) scored: doc_id, score."""
     known = docs.sparkSession.sparkContext.broadcast(model)  # a few thousand numbers
 
+    @tidy
     def run(batches):
         p = known.value
         t = tables(p) if p is not None else None

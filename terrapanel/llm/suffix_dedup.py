@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BASE, broadcast_if_small, mix64, row_chunks, shuffle_partitions, text_buffer
+from .common import BASE, broadcast_if_small, mix64, release, row_chunks, shuffle_partitions, text_buffer, tidy
 
 SPAN, SEED = 50, 24
 #: Bytes of text in a block of documents, and buckets for each shuffle partition.
@@ -121,6 +121,7 @@ def _runs(keys: np.ndarray) -> np.ndarray:
 
 
 def _anchor_rows(span: int, buckets: int):
+    @tidy
     def run(batches):
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
@@ -227,6 +228,7 @@ def _surroundings(span: int, buckets: int):
             f, g = follow[u:v], of[u:v]
             out.append(pack(seed[o].astype(np.uint32), ids[row[o]], row[o].astype(np.uint32), pos[o].astype(np.uint32), before[o], after[o], m[o].ravel(), nth[g].astype(np.uint32), row[f].astype(np.uint32), pos[f].astype(np.uint32), ids[row[f]] == ids[row[g]]))
         block = docs.column("block")[0].as_py() if docs.num_rows else 0
+        release()
         return pa.table([pa.array(to[cuts[:-1]] if len(lead) else np.zeros(0, np.int32)), pa.array(np.full(len(out), block, np.int32)), pa.array(out, pa.binary())], names=["bucket", "block", "payload"])
 
     return run
@@ -350,6 +352,7 @@ def _marks(span: int):
             both = np.concatenate([own, np.where(p[10], own[lead], valid[lead])])
             has = both > 0
             out.append(pack(np.concatenate([p[2], p[8]])[has], np.concatenate([p[3], p[9]])[has], both[has]))
+        release()
         return pa.table([table.column("block").combine_chunks(), pa.array(out, pa.binary())], names=["block", "payload"])
 
     return run
