@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrapanel.llm import jaccard, langid, packing, pii, suffix_dedup
-from terrapanel.llm.common import broadcast_if_small, materialize
+from terrapanel.llm.common import broadcast_if_small, materialize, scratch_scope
 
 MIN_SHARE = 0.4
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -33,8 +33,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = jaccard.similar_groups(docs, size=5, percent=80)
-    gone = materialize(groups.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    with scratch_scope(spark):  # only the ids that go outlive the search
+        groups = jaccard.similar_groups(docs, size=5, percent=80)
+        gone = materialize(groups.where("doc_id <> component_id").select("doc_id").distinct(), "gone", keep=True)
     kept = docs.join(broadcast_if_small(gone, gone.count()), "doc_id", "left_anti").select(*COLUMNS)
     # rows that repeat doc_id and text are one document; only ids are read to see whether there are any
     if docs.select("doc_id").groupBy("doc_id").count().where("count > 1").isEmpty():
