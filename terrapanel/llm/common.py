@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that the vectorised kernels take at once.
 CHUNK_BYTES = 1 << 20
+#: Bytes of an Arrow batch: the JVM and a Python worker both hold each batch, outside the heap.
+BATCH_BYTES = 8 << 20
 #: Odd multiplier of the polynomial hashes (mod 2**64).
 BASE = 0x9E3779B97F4A7C15
 _INV = pow(BASE, -1, 1 << 64)
@@ -29,6 +31,7 @@ def release() -> None:
     """Give memory that this worker no longer uses back to the system: idle workers stay, and share their executor's limit."""
     import ctypes
 
+    worker_cache().pop("powers", None)
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
@@ -48,6 +51,11 @@ def tidy(stage):
     return run
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """This session's Arrow batches end at BATCH_BYTES, not only at a number of rows of any length."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder name in the shared folder spark.checkpoint.dir; a local one only where that is unset."""
     top = spark.conf.get("spark.checkpoint.dir", None)

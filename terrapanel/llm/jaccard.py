@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, connected_components, materialize, mix64, row_chunks, shuffle_partitions, text_buffer, tidy, words
+from .common import bounded_batches, broadcast_if_small, connected_components, materialize, mix64, row_chunks, shuffle_partitions, text_buffer, tidy, words
 
 #: A hash is common from this share of the documents on; common hashes come last in the order.
 COMMON = 0.001
@@ -255,6 +255,7 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
     verified links found from the class to other texts.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null")
     parts = shuffle_partitions(spark)
     common = common_hashes(docs, size, docs.count())

@@ -27,7 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import BASE, LOWER, mix64, powers, row_chunks, text_buffer, tidy, words
+from .common import LOWER, bounded_batches, mix64, powers, row_chunks, text_buffer, tidy, words
 
 VOCABULARY = "piece_bpe_32k.model"
 MAX_PIECE, MAX_WORD = 8, 32
@@ -205,6 +205,7 @@ def labelled_sample(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], l
 
 def identify(docs: DataFrame, model: dict) -> DataFrame:
     """docs with lang_pred and score."""
+    bounded_batches(docs.sparkSession)
     names = docs.columns
     at = names.index("text")
     schema = StructType(list(docs.schema.fields)).add("lang_pred", "string").add("score", "double")

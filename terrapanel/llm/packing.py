@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .bpe import coder
-from .common import materialize, shuffle_partitions, tidy
+from .common import bounded_batches, materialize, shuffle_partitions, tidy
 
 CAPACITY, END = 1024, 2
 #: Rounds of multiplicative weights at most, and how far a round moves the weights.
@@ -165,6 +165,7 @@ def pieces_of(docs: DataFrame, capacity: int = CAPACITY, keep: tuple[str, ...] =
 def pack(docs: DataFrame, capacity: int = CAPACITY, keep: tuple[str, ...] = ()) -> DataFrame:
     """The pieces with sequence_id and offset."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     buckets = shuffle_partitions(spark)
     cut = pieces_of(docs, capacity, keep)
     cut = materialize(cut.withColumn("bucket", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(buckets)).cast("int")), "pieces")

@@ -35,13 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BASE, broadcast_if_small, mix64, release, row_chunks, shuffle_partitions, text_buffer, tidy
+from .common import BASE, bounded_batches, broadcast_if_small, mix64, release, row_chunks, shuffle_partitions, text_buffer, tidy
 
 SPAN, SEED = 50, 24
 #: Bytes of text in a block of documents, and buckets for each shuffle partition.
 BLOCK_BYTES, BUCKETS = 4 << 20, 4
 #: Text that anchors are searched in at once, so that one long document stays within memory.
-REACH = 1 << 20
+REACH = 1 << 18
 _NULL_ID = -(1 << 63)
 
 
@@ -399,6 +399,7 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, carry: tuple[str, ...] | N
     remaining bytes out; the digest has them.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID).cast("long"))
     extra = list(carry or ())
     docs = docs.select(ids.alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *extra)

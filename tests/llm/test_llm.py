@@ -49,6 +49,18 @@ def test_suffix_dedup(spark, docs):
     assert suffix_dedup.remove_repeats(_empty(spark)).count() == 0
 
 
+def test_anchors_do_not_depend_on_parts(monkeypatch):
+    from terrapanel.llm.common import text_buffer
+    import pyarrow as pa
+
+    buf, offsets = text_buffer(pa.array([t for t in _texts()], pa.string()))
+    whole = suffix_dedup.anchors(buf, offsets, 50)
+    for reach in (60, 97, 1000):
+        monkeypatch.setattr(suffix_dedup, "REACH", reach)
+        parts = suffix_dedup.anchors(buf, offsets, 50)
+        assert all((a == b).all() for a, b in zip(whole, parts, strict=True))
+
+
 def test_merge_sort_orders_strings():
     rng = np.random.default_rng(1)
     m = rng.integers(0, 2, (500, 12)).astype(np.uint8)
