@@ -6,8 +6,9 @@ document with a smaller doc_id. The work is a sparse suffix sort:
 1. Of documents with equal texts only the one of smallest doc_id goes on.
 2. Every window of `span` bytes has an anchor: its SEED-byte string of smallest
    hash. Equal windows have equal anchors at equal places, so only anchors whose
-   hash occurs in two documents or more matter. Their hashes are dealt into
-   buckets as packed arrays and counted there.
+   hash occurs in two documents or more matter. Each block of documents deals
+   its hashes, each once with its first and last document, into buckets as
+   packed arrays; there the shared ones are found and told to the blocks.
 3. The suffixes at those anchors, and the reversed prefixes before them, as far
    as a window can reach, meet in buckets of the anchor's hash. Equal
    surroundings inside a block of documents are merged before, so a passage in a
@@ -121,46 +122,45 @@ def _runs(keys: np.ndarray) -> np.ndarray:
 
 
 def _anchor_rows(span: int, buckets: int):
-    @tidy
-    def run(batches):
-        for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            block = batch.column("block").to_numpy()
-            buf, offsets = text_buffer(batch.column("text"))
-            place, h = anchors(buf, offsets, span)
-            row = np.searchsorted(offsets, place, "right") - 1
-            to = bucket_of(h, buckets)
-            order = np.argsort(to, kind="stable")
-            cuts = [*_runs(to[order]).tolist(), len(order)]
-            out = []
-            for x, y in zip(cuts, cuts[1:], strict=False):
-                o = order[x:y]
-                rows, index = np.unique(row[o], return_inverse=True)
-                out.append(pack(h[o].astype(np.uint32), np.diff(index, prepend=0).astype(np.uint32), (place[o] - offsets[row[o]]).astype(np.uint32), ids[rows], block[rows]))
-            yield pa.RecordBatch.from_arrays([pa.array(to[order][cuts[:-1]] if len(order) else np.zeros(0, np.int32)), pa.array(out, pa.binary())], ["bucket", "payload"])
+    """Of one block: a row for each bucket with its anchors' hashes, each once with its first and last document."""
+
+    def run(docs: pa.Table) -> pa.Table:
+        docs, ids, buf, offsets = _block_rows(docs)
+        place, h = anchors(buf, offsets, span)
+        row = np.searchsorted(offsets, place, "right") - 1
+        to, h = bucket_of(h, buckets), h.astype(np.uint32)
+        order = np.lexsort((row, h, to))  # rows are in order of doc_id
+        key = to[order].astype(np.uint64) << np.uint64(32) | h[order]
+        begin = _runs(key)
+        low, high = row[order][begin], row[order][np.append(begin[1:], len(key))[: len(begin)] - 1]
+        h, to = h[order][begin], to[order][begin]
+        cuts = [*_runs(to).tolist(), len(to)]
+        out = []
+        for x, y in zip(cuts, cuts[1:], strict=False):
+            rows, index = np.unique(np.concatenate([low[x:y], high[x:y]]), return_inverse=True)
+            first, last = index[: y - x].astype(np.uint32), index[y - x :].astype(np.uint32)
+            out.append(pack(np.diff(h[x:y], prepend=np.uint32(0)), first, last - first, ids[rows]))
+        block = docs.column("block")[0].as_py() if docs.num_rows else 0
+        release()
+        return pa.table([pa.array(to[cuts[:-1]] if len(to) else np.zeros(0, np.int32)), pa.array(np.full(len(out), block, np.int32)), pa.array(out, pa.binary())], names=["bucket", "block", "payload"])
 
     return run
 
 
 def _shared_anchors(table: pa.Table) -> pa.Table:
-    """Of one bucket: the anchors whose hash occurs in two documents, as a row for each block of documents."""
+    """Of one bucket: the hashes that two documents have, for each block those that occur in it."""
     parts = [unpack(x.as_py()) for x in table.column("payload")]
-    h = np.concatenate([p[0] for p in parts])
-    index = [np.cumsum(p[1], dtype=np.int64) for p in parts]
-    doc = np.concatenate([p[3][i] for p, i in zip(parts, index, strict=True)])
-    block = np.concatenate([p[4][i] for p, i in zip(parts, index, strict=True)])
-    pos = np.concatenate([p[2] for p in parts])
-    order = np.argsort(h)
+    h = np.concatenate([np.cumsum(p[0], dtype=np.uint32) for p in parts])
+    first, last = (np.concatenate([p[3][f(p)] for p in parts]) for f in (lambda p: p[1], lambda p: p[1] + p[2]))
+    order = np.argsort(h, kind="stable")
     begin = _runs(h[order])
-    low, high = (f.reduceat(doc[order], begin) for f in (np.minimum, np.maximum))
-    o = order[np.repeat(low < high, np.diff(np.append(begin, len(h))))]
-    o = o[np.lexsort((pos[o], doc[o], block[o]))]
-    cuts = [*_runs(block[o]).tolist(), len(o)]
-    out = []
-    for x, y in zip(cuts, cuts[1:], strict=False):
-        ids, i = np.unique(doc[o[x:y]], return_inverse=True)
-        out.append(pack(ids, i.astype(np.uint16) if len(ids) < 65536 else i.astype(np.uint32), pos[o[x:y]]))
-    return pa.table([pa.array(block[o][cuts[:-1]] if len(o) else np.zeros(0, np.int32)), pa.array(out, pa.binary())], names=["block", "payload"])
+    low, high = np.minimum.reduceat(first[order], begin), np.maximum.reduceat(last[order], begin)
+    shared = np.zeros(len(h), bool)
+    shared[order] = np.repeat(low < high, np.diff(np.append(begin, len(h))))
+    bucket = np.array([table.column("bucket")[0].as_py()], np.uint32)
+    ends = np.cumsum([len(p[0]) for p in parts])[:-1]
+    out = [pack(bucket, x[y]) for x, y in zip(np.split(h, ends), np.split(shared, ends), strict=True)]
+    return pa.table([table.column("block"), pa.array(out, pa.binary())], names=["block", "payload"])
 
 
 def _block_rows(docs: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
@@ -176,30 +176,19 @@ def _surroundings(span: int, buckets: int):
 
     def run(docs: pa.Table, hints: pa.Table) -> pa.Table:
         docs, ids, buf, offsets = _block_rows(docs)
-        rows, places = [], []
-        for x in hints.column("payload"):
-            who, i, pos = unpack(x.as_py())
-            first, last = np.searchsorted(ids, who, "left")[i], np.searchsorted(ids, who, "right")[i]
-            for k in range(int((last - first).max(initial=0))):  # rows of one doc_id all get its hints
-                on = first + k < last
-                rows.append((first + k)[on])
-                places.append(pos[on].astype(np.int64))
-        row = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-        pos = np.concatenate(places) if places else np.zeros(0, np.int64)
-        fits = pos + SEED <= offsets[row + 1] - offsets[row]
-        row, pos = row[fits], pos[fits]
-        at = offsets[row] + pos
+        shared = [(bucket.astype(np.uint64) << np.uint64(32)) | h for bucket, h in (unpack(x.as_py()) for x in hints.column("payload"))]
+        at, seed = anchors(buf, offsets, span)
+        key = bucket_of(seed, buckets).astype(np.uint64) << np.uint64(32) | seed.astype(np.uint32)
+        on = np.isin(key, np.concatenate(shared)) if shared else np.zeros(len(at), bool)
+        at, seed = at[on], seed[on]
+        row = np.searchsorted(offsets, at, "right") - 1
+        pos = at - offsets[row]
         before = np.minimum(pos, left).astype(np.uint8)
         after = np.minimum(offsets[row + 1] - at, span).astype(np.uint8)
         m = np.zeros((len(at), width), np.uint8)
         for k in range(width):
             inside = (k >= left - before) & (k < left + after)
             m[inside, k] = buf[at[inside] + (k - left)]
-        p = np.array([pow(BASE, SEED - 1 - k, 1 << 64) for k in range(SEED)], np.uint64)
-        seed = np.zeros(len(at), np.uint64)
-        for k in range(SEED):
-            seed += (m[:, left + k].astype(np.uint64) + np.uint64(1)) * p[k]
-        seed = mix64(seed)
         whole = seed.copy()
         for k in range(width):
             whole = whole * np.uint64(BASE) + m[:, k]
@@ -414,7 +403,7 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, carry: tuple[str, ...] | N
     originals = rows.where(~is_copy).where("first is null or doc_id = first").withColumn("block", F.pmod(F.xxhash64("doc_id", "same"), F.lit(blocks)).cast("int")).select("doc_id", "text", "block", *extra)
     bare = originals.select("doc_id", "text", "block")
 
-    found = bare.mapInArrow(_anchor_rows(span, buckets), "bucket int, payload binary")
+    found = bare.groupBy("block").applyInArrow(_anchor_rows(span, buckets), "bucket int, block int, payload binary")
     hints = found.groupBy("bucket").applyInArrow(_shared_anchors, "block int, payload binary")
     entries = bare.groupBy("block").cogroup(hints.groupBy("block")).applyInArrow(_surroundings(span, buckets), "bucket int, block int, payload binary")
     marks = entries.groupBy("bucket").applyInArrow(_marks(span), "block int, payload binary")

@@ -33,7 +33,9 @@ def _empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-def test_suffix_dedup(spark, docs):
+@pytest.mark.parametrize("block_bytes", [1 << 22, 2000])
+def test_suffix_dedup(spark, docs, block_bytes, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", block_bytes)
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(docs).collect()}
     seen: set = set()
     for i, t in enumerate(_texts()):
@@ -178,6 +180,14 @@ def test_langid(spark):
     assert langid.identify(_empty(spark), langid.fit([], [])).count() == 0
 
 
+def test_langid_sample_is_of_smallest_hash(spark):
+    d = spark.range(4000).selectExpr("id AS doc_id", "concat('t', id) AS text", "if(id % 5 = 0, 'fr', 'en') AS lang")
+    usable = d.where(~langid.held_out()).selectExpr("text", "lang", "xxhash64(doc_id) AS h").collect()
+    want = {x: sorted((r.h, r.text) for r in usable if r.lang == x)[:40] for x in ("en", "fr")}
+    texts, langs = langid.labelled_sample(d, 40)
+    assert sorted(zip(langs, texts, strict=True)) == sorted((x, t) for x, rows in want.items() for _, t in rows)
+
+
 def test_quality():
     rng = random.Random(6)
     good = [" ".join(rng.choice(["the", "house", "stands", "near", "water"]) for _ in range(60)) for _ in range(60)]
