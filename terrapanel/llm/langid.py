@@ -197,6 +197,11 @@ def held_out(doc_id: str = "doc_id"):
 def labelled_sample(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], list[str]]:
     """Texts and languages of at most sample rows of each language that isn't held out."""
     ids = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("doc_id", "lang")
+    # counts by the hash's first byte tell how far the smallest hashes reach: 256 rows a language at most
+    ids = ids.withColumn("slot", F.shiftright(F.xxhash64("doc_id"), 56))
+    before = F.sum("n").over(W.partitionBy("lang").orderBy("slot").rowsBetween(W.unboundedPreceding, -1))
+    slots = ids.groupBy("lang", "slot").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(before, F.lit(0)))
+    ids = ids.join(F.broadcast(slots.where(F.col("before") < sample).select("lang", "slot")), ["lang", "slot"])
     w = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = ids.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= sample).select("doc_id").distinct()
     rows = docs.join(F.broadcast(ids), "doc_id").where("text is not null and lang is not null").select("doc_id", "text", "lang").orderBy("doc_id").collect()
