@@ -311,6 +311,17 @@ def fe_residual_iterative(spark, d):
     return rounded(R.residuals_iterated(holes, "e", "g", "t", ["y"], rounds=3).select("e", "t", "y_res"))
 
 
+_TWENTY = """, h AS (SELECT nation AS e, CAST(n_regionkey AS INTEGER) AS g, yr * 100 + mo AS t, v AS y FROM m JOIN nation ON n_nationkey = nation), i0 AS (SELECT e, g, t, y - avg(y) OVER (PARTITION BY g) AS v FROM h)""" + "".join(f", a{k} AS (SELECT e, g, t, v - avg(v) OVER (PARTITION BY g, e) AS v FROM i{k - 1}), i{k} AS (SELECT e, g, t, v - avg(v) OVER (PARTITION BY g, t) AS v FROM a{k})" for k in range(1, 21))
+
+
+@query(M_ + _TWENTY + " SELECT e, t, round(v, 4) + 0 AS y_res FROM i20")
+def fe_residual_unbalanced(spark, d):
+    """The reference's 20 rounds over every row of nation by month, in which months without orders are absent."""
+    n = read_table(spark, d, "nation", ["n_nationkey", "n_regionkey"]).select(F.col("n_nationkey").cast("int").alias("nation"), F.col("n_regionkey").cast("int").alias("g"))
+    m = T.monthly(spark, d).join(F.broadcast(n), "nation").select(F.col("nation").alias("e"), "g", (F.col("yr") * 100 + F.col("mo")).alias("t"), F.col("v").alias("y"))
+    return rounded(R.residuals_iterated(m, "e", "g", "t", ["y"], rounds=20).select("e", "t", "y_res"))
+
+
 def _specs(spark, d, specs, pairs=None):
     return R.run_specs(T.panel(spark, d), specs, "e", "g", "t", pairs)
 

@@ -29,6 +29,22 @@ def test_residuals_have_zero_means(spark):
         assert max(abs(r[0]) for r in d.groupBy(*keys).agg(F.avg("y_res")).select("avg(y_res)").collect()) < 1e-8
 
 
+def test_unbalanced_query_keeps_every_row_and_converges(spark):
+    from terrapanel.plans import queries, tables
+
+    d = "/root/testdata/sf0.001"
+    m = {(r.nation, r.yr * 100 + r.mo): r.v for r in tables.monthly(spark, d).collect()}
+    region = {r.e: r.g for r in spark.read.parquet(f"{d}/nation.parquet").selectExpr("n_nationkey AS e", "n_regionkey AS g").collect()}
+    got = {(r.e, r.t): r.y_res for r in queries.QUERIES["fe_residual_unbalanced"](spark, d).collect()}
+    assert got.keys() == m.keys() and len(m) < len({e for e, _ in m}) * len({t for _, t in m})  # whole, and unbalanced
+    for g in set(region.values()):
+        keys = sorted(k for k in m if region[k[0]] == g)
+        dummies = np.array([[k[0] == e for e in sorted({k[0] for k in keys})] + [k[1] == t for t in sorted({k[1] for k in keys})] for k in keys], float)
+        y = np.array([m[k] for k in keys])
+        exact = y - dummies @ np.linalg.lstsq(dummies, y, rcond=None)[0]
+        assert np.abs(np.array([got[k] for k in keys]) - exact).max() < 1e-3 * y.std()
+
+
 def test_own_pairs_only_is_cluster_without_factor(spark):
     d = _panel(spark, False)
     beta, inverse, _ = R.ols(d, "y", ["a"])
