@@ -5,9 +5,10 @@ than a sequence are cut. The histogram of lengths (at most `capacity` numbers,
 whatever the input) is all that the driver sees. On it the configuration linear
 program - fewest sequences whose contents cover every length's count - is solved
 by multiplicative weights: each round a knapsack by dynamic programming prices
-the best filling under the lengths' weights, the filling is taken, and the
-weights of what it covers fall. The solution is rounded down to whole sequences
-and what is left is placed best-fit, longest first. Pieces then look up their
+the best fillings under the lengths' weights, some that share no length are
+taken, and the weights of what they cover fall, until all lengths are covered to
+the same share within TOLERANCE. The solution is rounded to whole sequences, and
+what rounding leaves is placed best-fit, longest first. Pieces then look up their
 places by their rank among pieces of their length; ranks come from counts by
 bucket and length, so nothing is sorted in one task.
 
@@ -31,31 +32,91 @@ from .bpe import coder
 from .common import bounded_batches, materialize, shuffle_partitions, tidy
 
 CAPACITY, END = 1024, 2
-#: Rounds of multiplicative weights at most, and how far a round moves the weights.
-ROUNDS, STEP = 400, 0.5
+#: Shares of the lengths' needs agree within TOLERANCE of the largest; a filling adds STEP to a share at most.
+TOLERANCE, STEP = 0.1, 0.125
+#: A share's weight falls by exp(-RATE) for each need covered, to none from AHEAD of the least share on.
+RATE, AHEAD = 8.0, 0.5
+#: Fillings worth this much less than the best one are taken with it.
+SLACK = 0.02
 
 
-def knapsack(value: np.ndarray, capacity: int) -> list[int]:
-    """Lengths (with repeats) of greatest total value that fit; value[l] is a length's, 0 where there is none."""
+def knapsack(value: np.ndarray, capacity: int) -> tuple[np.ndarray, list[int]]:
+    """By room, the greatest total value of lengths (with repeats) that fit, and a length to take first (0: leave one free); value[l] is a length's, 0 where there is none."""
     best = np.zeros(capacity + 1)
-    choice = np.zeros(capacity + 1, np.int64)
+    back = np.zeros(capacity + 1)  # best in reverse
+    choice = [0] * (capacity + 1)
     for c in range(1, capacity + 1):
-        gains = value[1 : c + 1] + best[c - 1 :: -1][:c]
+        gains = value[1 : c + 1] + back[capacity - c + 1 :]
         pick = int(gains.argmax())
-        best[c], choice[c] = gains[pick], pick + 1
-        if best[c - 1] >= best[c]:
-            best[c], choice[c] = best[c - 1], 0
-    out, c = [], capacity
-    while c > 0:
-        if choice[c]:
-            out.append(int(choice[c]))
-            c -= int(choice[c])
+        if gains[pick] > best[c - 1]:
+            best[c], choice[c] = gains[pick], pick + 1
         else:
-            c -= 1
+            best[c] = best[c - 1]
+        back[capacity - c] = best[c]
+    return best, choice
+
+
+def cover(need: np.ndarray, capacity: int) -> tuple[dict[tuple[int, ...], float], np.ndarray]:
+    """Fillings with amounts, and by length the share of its need that they cover; shares agree within TOLERANCE.
+
+    A round prices one knapsack and takes of its best fillings, around each
+    length, those that share no length. None adds more than STEP to a share and
+    one share at least gains STEP, and lengths AHEAD of the least covered one
+    have no price: shares differ by AHEAD + 2 STEP at most while the least one
+    grows, so the rounds end, after a number in proportion to the lengths.
+    """
+    there = np.flatnonzero(need > 0)
+    share = np.zeros(capacity + 1)
+    taken: dict[tuple[int, ...], float] = {}
+    want = need.tolist()
+    while len(there):
+        now = share[there]
+        low = now.min()
+        if low > 0 and low >= (1 - TOLERANCE) * now.max():
+            break
+        weight = np.zeros(capacity + 1)
+        weight[there] = np.where(now <= low + AHEAD, there / capacity * np.exp(-RATE * (now - low)), 0.0)
+        best, choice = knapsack(weight, capacity)
+        used: set[int] = set()
+        for length in [0, *there[np.argsort(now, kind="stable")].tolist()]:  # 0: the best filling of all
+            if length and (length in used or weight[length] + best[capacity - length] < (1 - SLACK) * best[capacity]):
+                continue
+            many = {length: 1} if length else {}
+            room = capacity - length
+            while room > 0:
+                k = choice[room]
+                if k in used:
+                    break
+                if k:
+                    many[k] = many.get(k, 0) + 1
+                room -= k or 1
+            if room > 0:
+                continue
+            used.update(many)
+            amount = min(want[k] / n for k, n in many.items()) * STEP
+            fill = tuple(sorted((k for k, n in many.items() for _ in range(n)), reverse=True))
+            taken[fill] = taken.get(fill, 0.0) + amount
+            for k, n in many.items():
+                share[k] += amount * n / want[k]
+    return taken, share
+
+
+def rounded(taken: dict[tuple[int, ...], float], share: np.ndarray, left: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
+    """Whole sequences of the fillings; what they hold is taken off left. Fractions add up from filling to filling."""
+    out, due = [], 0.0
+    scale = 1.0 / share[share > 0].min() if taken else 0.0
+    for fill, x in sorted(taken.items(), key=lambda t: (-t[1] * sum(t[0]), t[0])):
+        kinds, many = np.unique(fill, return_counts=True)
+        due += x * scale
+        n = min(int(due + 1e-9), int((left[kinds] // many).min()))
+        if n > 0:
+            out.append((fill, n))
+            left[kinds] -= n * many
+        due = min(due - n, 1.0)
     return out
 
 
-def plan(counts: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[tuple[int, ...], int]]:
+def plan(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
     """(filling, how many sequences) covering counts[l] pieces of each length l exactly."""
     left = counts.astype(np.int64).copy()
     left[0] = 0
@@ -63,39 +124,16 @@ def plan(counts: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS) ->
     if left[capacity]:
         out.append(((capacity,), int(left[capacity])))
         left[capacity] = 0
-    need = left.astype(float)
-    lengths = np.arange(capacity + 1)
-    taken: dict[tuple[int, ...], float] = {}
-    weight = np.where(need > 0, lengths / capacity, 0.0)
-    cover = np.zeros(capacity + 1)
-    total = need.sum()
-    for _ in range(rounds if total else 0):
-        fill = tuple(sorted(knapsack(weight, capacity), reverse=True))
-        if not fill:
-            break
-        kinds, many = np.unique(fill, return_counts=True)
-        # as many of this filling as let its scarcest length gain a set share of its need
-        amount = float((need[kinds] / many).min()) * STEP / 4
-        taken[fill] = taken.get(fill, 0.0) + amount
-        cover[kinds] += amount * many
-        share = np.divide(cover, need, out=np.zeros_like(cover), where=need > 0)
-        low = share[need > 0].min()
-        weight = np.where(need > 0, lengths / capacity * np.exp(-STEP * 4 * (share - low)), 0.0)
-    if taken:
-        share = np.divide(cover, need, out=np.zeros_like(cover), where=need > 0)
-        scale = 1.0 / max(share[need > 0].max(), 1e-9)
-        for fill, x in sorted(taken.items(), key=lambda t: -t[1] * sum(t[0])):
-            kinds, many = np.unique(fill, return_counts=True)
-            n = min(int(x * scale), int((left[kinds] // many).min()))
-            if n > 0 and sum(fill) >= 0.98 * capacity:
-                out.append((fill, n))
-                left[kinds] -= n * many
-    return out + _best_fit(left, capacity)
-
-
-def _best_fit(left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """The lengths left, longest first, in the fullest sequence that still has room; equal sequences are handled together."""
+    out += rounded(*cover(left.astype(float), capacity), left)
+    full = [x for x in out if sum(x[0]) == capacity]
+    return full + _best_fit(left, capacity, [x for x in out if sum(x[0]) < capacity])
+
+
+def _best_fit(left: np.ndarray, capacity: int, begun: list[tuple[tuple[int, ...], int]] = ()) -> list[tuple[tuple[int, ...], int]]:
+    """The lengths left, longest first, in the fullest sequence that still has room, those begun among them; equal sequences are handled together."""
     open_: dict[int, dict[tuple[int, ...], int]] = {}  # room -> filling -> how many
+    for fill, many in begun:
+        open_.setdefault(capacity - sum(fill), {})[fill] = many
     for length in range(capacity, 0, -1):
         n = int(left[length])
         while n:

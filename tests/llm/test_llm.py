@@ -146,6 +146,22 @@ def test_plan_covers_counts():
     assert (used == counts).all()
 
 
+def test_plan_rounds_a_solution_that_covers_every_length():
+    rng = np.random.default_rng(0)
+    counts = rng.integers(1, 2000, 257)
+    counts[[0, 256]] = 0
+    taken, share = packing.cover(counts.astype(float), 256)
+    assert share[1:256].min() >= (1 - packing.TOLERANCE) * share.max() > 0
+    covered = np.zeros(257)
+    for fill, x in taken.items():
+        assert sum(fill) <= 256
+        np.add.at(covered, list(fill), x)
+    assert np.allclose(covered[1:256], share[1:256] * counts[1:256])
+    left = counts.copy()
+    packing.rounded(taken, share, left)
+    assert left.min() >= 0 and left.sum() < 0.1 * counts.sum()  # best fit places only what rounding leaves
+
+
 def test_topk_against_all_scores(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(120, 6))
