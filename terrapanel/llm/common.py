@@ -167,21 +167,37 @@ def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, ends, rows, h
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, comp): the smallest node reachable over edges (a, b), for each node that has an edge.
 
-    Min-label hooking with pointer jumping; each round is a few joins and
-    partial aggregations over (node, label) rows, written to shared scratch.
+    Contraction: each round every node points to its smallest neighbour, also
+    the least of its own neighbourhood; such pointers can only circle between
+    two nodes, of which the smaller is made a root. Pointers are jumped until
+    they end in roots, and the edges between trees go on to the next round. A
+    tree has two nodes at least, so the rounds end after a logarithm of the nodes.
     """
-    both = materialize(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), "edges")
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("comp")), "labels")
-    for _ in range(most_rounds):
-        near = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("low"))
-        hooked = labels.join(near, "node", "left").select("node", "comp", F.least("comp", F.coalesce("low", "comp")).alias("next"))
-        roots = labels.select(F.col("node").alias("next"), F.col("comp").alias("root"))
-        jumped = hooked.join(roots, "next", "left").select("node", F.col("comp").alias("old"), F.least("next", F.coalesce("root", "next")).alias("comp"))
-        jumped = materialize(jumped, "labels")
-        labels = jumped.select("node", "comp")
-        if jumped.where("old <> comp").isEmpty():
-            return labels
-    raise RuntimeError("components did not settle")
+    rest = materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    labels = None
+    while labels is None or not rest.isEmpty():
+        both = rest.union(rest.select("b", "a"))
+        first = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("next")), "labels")
+        back = first.select(F.col("node").alias("next"), F.col("next").alias("back"))
+        points = first.join(back, "next").select("node", F.when((F.col("back") == F.col("node")) & (F.col("node") < F.col("next")), F.col("node")).otherwise(F.col("next")).alias("comp"))
+        while True:  # a chain of pointers halves in each turn
+            to = points.select(F.col("node").alias("comp"), F.col("comp").alias("root"))
+            points = materialize(points.join(to, "comp").select("node", F.col("comp").alias("old"), F.col("root").alias("comp")), "labels")
+            settled = points.where("old <> comp").isEmpty()
+            points = points.select("node", "comp")
+            if settled:
+                break
+        least = points.groupBy("comp").agg(F.min("node").alias("least"))
+        points = materialize(points.join(least, "comp").select("node", F.col("least").alias("comp")), "labels")
+        if labels is None:
+            labels = points
+        else:
+            low = points.select(F.col("node").alias("comp"), F.col("comp").alias("low"))
+            labels = materialize(labels.join(low, "comp", "left").select("node", F.coalesce("low", "comp").alias("comp")), "labels")
+        ends = [points.select(F.col("node").alias(c), F.col("comp").alias(f"r{c}")) for c in "ab"]
+        roots = rest.join(ends[0], "a").join(ends[1], "b").where("ra <> rb")
+        rest = materialize(roots.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "edges")
+    return labels

@@ -90,6 +90,18 @@ def test_jaccard(spark, docs):
     assert jaccard.similar_groups(_empty(spark)).count() == 0
 
 
+def test_components_of_long_chains(spark):
+    from terrapanel.llm.common import connected_components
+
+    n = 400
+    order = random.Random(7).sample(range(2000, 2000 + n), n)  # a path in random order
+    down = [0, *range(n - 1, 0, -1)]  # 0, n - 1, n - 2, ..., 1
+    pairs = [*zip(order, order[1:]), *zip(down, down[1:]), (5000, 5001), (5001, 5000), (6000, 6000)]
+    got = {r.node: r.comp for r in connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == {**{i: 2000 for i in order}, **{i: 0 for i in down}, 5000: 5000, 5001: 5000}
+    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_pii_matches_patterns():
     rng = random.Random(2)
     patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
