@@ -34,7 +34,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     with scratch_scope(spark):  # only the ids that go outlive the search
-        groups = jaccard.similar_groups(docs, size=5, percent=80)
+        groups = jaccard.similar_groups(docs, size=5, percent=80, links_too=False)
         gone = materialize(groups.where("doc_id <> component_id").select("doc_id").distinct(), "gone", keep=True)
     kept = docs.join(broadcast_if_small(gone, gone.count()), "doc_id", "left_anti").select(*COLUMNS)
     # rows that repeat doc_id and text are one document; only ids are read to see whether there are any

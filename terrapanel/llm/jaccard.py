@@ -9,11 +9,12 @@ the same band or the next. Inside a tile, the bit count of the difference of two
 parity bitmaps bounds the set difference from below, hence the overlap from
 above; pairs that pass have their sorted arrays intersected exactly.
 
-Three measures keep groups of copies from giving all their pairs, without
-losing a link: equal sets are one class, represented by its smallest doc_id;
+Three measures keep groups of copies from giving all their pairs while
+components are sought: equal sets are one class, represented by its smallest doc_id;
 cheap keys (pairs of minima) link a document with the smallest holder of the
 key after exact verification; tiles then only compare documents that these
-links have not put into one component yet, which can't change any component.
+links have not put into one component yet, which can't change any component. All links of each class are then counted
+inside the components (link_counts).
 
 Defined cases: null, empty and white-space texts have an empty set and link with
 nothing; a text of fewer words than a shingle has its whole sequence as one;
@@ -26,6 +27,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, broadcast_if_small, connected_components, materialize, mix64, row_chunks, shuffle_partitions, text_buffer, tidy, words
@@ -36,6 +38,8 @@ COMMON = 0.001
 BITS, WIDE = 1024, 4096
 #: Cheap keys, and minima in each.
 CHEAP, MINIMA = 4, 2
+#: Hashes in a block of a component's sets, when links are counted; each set counts 256 more, so a block has 1,024 at most.
+BLOCK = 1 << 18
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -248,11 +252,65 @@ def _tile_pairs(percent: int):
     return run
 
 
-def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+def link_counts(members: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """(class_id, n_links): how many others of its component each of members (doc_id, class_key, n, comp) links to, exactly.
+
+    Links only join members of one component. Its members, in order of size, go
+    in blocks of BLOCK hashes (a larger set by itself), and pairs of blocks whose sizes may
+    link are counted set by set in one task each: pairs of documents are never rows.
+    """
+    w = W.partitionBy("comp").orderBy("n", "doc_id")
+    start = F.coalesce(F.sum(F.col("n") + 256).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    several = members.groupBy("comp").agg(F.count("*").alias("c")).where("c > 1").select("comp")
+    placed = members.join(several, "comp").withColumn("block", F.floor(start / BLOCK).cast("int")).select("doc_id", "class_key", "n", "comp", "block")
+    placed = materialize(placed, "placed")
+    blocks = placed.groupBy("comp", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    x, y = (blocks.select("comp", F.col("block").alias(c), F.col("low").alias(f"l{c}"), F.col("high").alias(f"h{c}")) for c in "ij")
+    pairs = x.join(y, "comp").where((F.col("i") <= F.col("j")) & (percent * F.col("lj") <= 100 * F.col("hi"))).select("comp", "i", "j")
+    sides = pairs.select("comp", F.col("i").alias("block"), "i", "j").union(pairs.where("i < j").select("comp", F.col("j").alias("block"), "i", "j"))
+
+    @tidy
+    def as_sets(batches):
+        import xxhash
+
+        for batch in batches:
+            sets = [s.tobytes() for s in shingle_sets(batch.column(1), size)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), pa.array(sets, pa.binary())], ["doc_id", "class_key", "s"])
+
+    sets = docs.join(placed.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(as_sets, "doc_id long, class_key binary, s binary").dropDuplicates(["doc_id", "class_key"])
+    rows = placed.drop("n").join(sets, ["doc_id", "class_key"]).drop("class_key").join(sides, ["comp", "block"])
+
+    def count(table: pa.Table) -> pa.Table:
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        block, ids = table.column("block").to_numpy(), table.column("doc_id").to_numpy()
+        each = [np.frombuffer(z.as_buffer(), np.uint64) for z in table.column("s").combine_chunks()]
+        _, code = np.unique(np.concatenate(each), return_inverse=True)
+        n = np.array([len(z) for z in each])
+        ends = np.cumsum(n)
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        # the right side's hashes in one array; each left set marks its own
+        flat = np.concatenate([code[ends[k] - n[k] : ends[k]] for k in right])
+        starts = np.cumsum(n[right]) - n[right]
+        mark, found = np.zeros(code.max() + 1, np.int64), np.zeros(len(ids), np.int64)
+        for k in left:
+            own = code[ends[k] - n[k] : ends[k]]
+            mark[own] = 1
+            both = np.add.reduceat(mark[flat], starts)
+            mark[own] = 0
+            link = (100 * both >= percent * (n[k] + n[right] - both)) & (right != k)
+            found[k] += link.sum()
+            if i != j:
+                found[right] += link
+        return pa.table({"class_id": pa.array(ids), "n_links": pa.array(found)})
+
+    return rows.groupBy("comp", "i", "j").applyInArrow(count, "class_id long, n_links long").groupBy("class_id").agg(F.sum("n_links").alias("n_links"))
+
+
+def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80, links_too: bool = True) -> DataFrame:
     """docs (doc_id, text): doc_id, n_shingles, class_id, n_links, component_id of every row with a doc_id.
 
-    class_id is the smallest doc_id with an equal set, n_links counts the
-    verified links found from the class to other texts.
+    class_id is the smallest doc_id with an equal set, n_links counts all links
+    from the class to other classes. links_too = False leaves n_links out.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -282,12 +340,15 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
 
     links = links.union(more).distinct()
     final = connected_components(links)
-    degree = links.select(F.col("a").alias("class_id")).union(links.select("b")).groupBy("class_id").agg(F.count("*").alias("n_links"))
-    classes = classes.join(final.withColumnRenamed("node", "class_id"), "class_id", "left").join(degree, "class_id", "left")
+    classes = classes.join(final.withColumnRenamed("node", "class_id"), "class_id", "left")
+    if links_too:
+        members = reps.select("doc_id", "class_key", "n").join(final.withColumnRenamed("node", "doc_id"), "doc_id")
+        classes = classes.join(link_counts(members, docs, size, percent), "class_id", "left")
     out = every.select("doc_id", "n", "class_key").join(classes, "class_key", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("comp", "class_id", "doc_id").alias("component_id"))
+    counted = [F.coalesce("n_links", F.lit(0)).alias("n_links")] if links_too else []
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), *counted, F.coalesce("comp", "class_id", "doc_id").alias("component_id"))
 
 
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return similar_groups(docs, size=4, percent=85).select("doc_id", "n_shingles", "component_id")
+    return similar_groups(docs, size=4, percent=85).select("doc_id", "n_shingles", "n_links", "component_id")

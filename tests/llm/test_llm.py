@@ -90,6 +90,25 @@ def test_jaccard(spark, docs):
     assert jaccard.similar_groups(_empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("block", [jaccard.BLOCK, 3000])
+def test_jaccard_counts_every_link(spark, block, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rng = random.Random(8)
+    base = [f"w{k}" for k in range(120)]
+    texts = []
+    for i in range(60):  # a group of near copies, of which few pairs share cheap keys
+        w = list(base)
+        w[rng.randrange(120)] = f"x{i}"
+        texts.append(" ".join(w[: rng.choice([120, 118, 112])]))
+    texts += [texts[0], "alone in here with no one", ""]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    sets = [frozenset(tuple(t.split()[k : k + 4]) for k in range(len(t.split()) - 3)) for t in texts]
+    other = set(sets) - {frozenset()}
+    want = {i: sum(x != s and 100 * len(x & s) >= 85 * len(x | s) for x in other) if s else 0 for i, s in enumerate(sets)}
+    assert max(want.values()) > 40
+    assert {r.doc_id: r.n_links for r in jaccard.similar_groups(d, 4, 85).collect()} == want
+
+
 def test_components_of_long_chains(spark):
     from terrapanel.llm.common import connected_components
 
