@@ -6,7 +6,8 @@ stage before it kept. All but the last return the columns of documents.
 - language: drops documents without a letter, and those that no learned language
   fits (best share under MIN_SHARE). With nothing to learn from, only the former go.
 - near_duplicates: of each group linked by word shingles (five words, similarity
-  0.8 or more) the document of smallest doc_id stays. Rows without doc_id stay.
+  0.8 or more) the document of smallest doc_id stays; where none has a doc_id, one
+  of them. Rows that repeat doc_id and text are one document.
 - repeated_passages: cuts out each string of 50 bytes that an earlier document
   has too; documents of which nothing is left go.
 - personal_data: puts the kind in place of each span found.
@@ -33,14 +34,17 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    with scratch_scope(spark):  # only the ids that go outlive the search
+    key = F.unhex(F.md5("text"))
+    with scratch_scope(spark):  # only the keys of rows that go outlive the search
         groups = jaccard.similar_groups(docs, size=5, percent=80, links_too=False)
-        gone = materialize(groups.where("doc_id <> component_id").select("doc_id").distinct(), "gone", keep=True)
-    kept = docs.join(broadcast_if_small(gone, gone.count()), "doc_id", "left_anti").select(*COLUMNS)
+        other = ~(F.col("keeper.doc_id").eqNullSafe(F.col("doc_id")) & F.col("keeper.text_key").eqNullSafe(F.col("text_key")))
+        gone = materialize(groups.where(other).select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct(), "gone", keep=True)
+    keyed = docs.select(*COLUMNS).withColumn("same", key)
+    kept = keyed.join(broadcast_if_small(gone, gone.count(), 1_000_000), F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("same") == F.col("gone_key")), "left_anti")
     # rows that repeat doc_id and text are one document; only ids are read to see whether there are any
     if docs.select("doc_id").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return kept
-    return kept.withColumn("same", F.sha2("text", 256)).dropDuplicates(["doc_id", "same"]).select(*COLUMNS)
+        return kept.select(*COLUMNS)
+    return kept.dropDuplicates(["doc_id", "same"]).select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

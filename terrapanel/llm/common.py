@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import sys
 import tempfile
 import types
@@ -57,38 +58,49 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new folder name in the shared folder spark.checkpoint.dir; a local one only where that is unset."""
+    """A new folder name in the shared folder spark.checkpoint.dir; a local folder only where that is unset and Spark itself is local."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
-        top = tempfile.gettempdir() + "/terrapanel-checkpoint"
-        spark.conf.set("spark.checkpoint.dir", top)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        top = f"file://{tempfile.gettempdir()}/terrapanel-checkpoint"
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-_scopes: list[list[str]] = []
+_scope: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("terrapanel_scope", default=None)
+
+
+def _folder(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 @contextlib.contextmanager
 def scratch_scope(spark: SparkSession):
     """Deletes at its end the tables that were materialized inside it; what is kept must be written after it or elsewhere."""
-    _scopes.append([])
+    paths: list[str] = []
+    token = _scope.set(paths)
     try:
         yield
     finally:
-        for path in _scopes.pop():
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        _scope.reset(token)
+        for path in paths:
+            p, fs = _folder(spark, path)
+            fs.delete(p, True)
 
 
 def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write df as Parquet in the shared scratch folder and read it again: lineage ends there.
 
-    Inside a scratch_scope the table goes at the scope's end, unless keep is set.
+    Inside a scratch_scope the table goes at the scope's end, unless keep is
+    set; all others go when the application ends.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    if _scopes and not keep:
-        _scopes[-1].append(path)
+    p, fs = _folder(spark, path)
+    fs.deleteOnExit(p)
+    if _scope.get() is not None and not keep:
+        _scope.get().append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -98,6 +110,26 @@ def broadcast_if_small(df: DataFrame, rows: int, limit: int = 2_000_000) -> Data
     return F.broadcast(df) if rows <= limit else df
 
 
+def lookup(rows: DataFrame, table: DataFrame, key: str, often: DataFrame | None = None) -> DataFrame:
+    """rows left-joined with table, whose keys are unique, by the column key; no key's rows all go to one task.
+
+    A table of at most 200,000 rows is broadcast. Else keys that hold over one
+    in 8 x shuffle partitions of all rows (so at most as many keys; often, if it
+    is known) meet their entries by a broadcast, other keys by a shuffle, and
+    rows without a key meet nothing.
+    """
+    spark = rows.sparkSession
+    if table.limit(200_001).count() <= 200_000:
+        return rows.join(F.broadcast(table), key, "left")
+    if often is None:
+        by = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_c"))
+        often = by.where(F.col("_c") > rows.count() / (8 * shuffle_partitions(spark))).select(key)
+    hot = F.broadcast(materialize(often.join(table, key, "left"), "hot"))
+    out = rows.join(hot, key).unionByName(rows.where(F.col(key).isNotNull()).join(F.broadcast(hot.select(key)), key, "left_anti").join(table, key, "left"))
+    none = rows.where(F.col(key).isNull())
+    return out.unionByName(none.select("*", *[F.lit(None).cast(t).alias(c) for c, t in table.dtypes if c != key]))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -122,6 +154,38 @@ def row_chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES):
         a = min(b, n)
 
 
+def split_rows(buf: np.ndarray, offsets: np.ndarray, limit: int = CHUNK_BYTES, step: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, row) with rows of more than limit bytes cut after ASCII white space, about limit bytes each.
+
+    A longer run without white space stays whole; with step it is cut, too, at
+    multiples of step bytes from its first byte.
+    """
+    long = np.flatnonzero(np.diff(offsets) > limit)
+    if not len(long):
+        return offsets, np.arange(len(offsets) - 1)
+    cuts = [offsets]
+    for r in long.tolist():
+        at, end, found = int(offsets[r]), int(offsets[r + 1]), []
+        begin = at  # of the word that at lies in
+        while end - at > limit:
+            near = np.flatnonzero(SPACE[buf[at : at + limit]])
+            if len(near):
+                at = begin = at + int(near[-1]) + 1
+            elif step:
+                at = begin + (at + limit - begin) // step * step
+            else:
+                x = at + limit
+                while x < end and not SPACE[buf[x]]:
+                    part = np.flatnonzero(SPACE[buf[x : min(x + limit, end)]])
+                    x = x + int(part[0]) if len(part) else min(x + limit, end)
+                at = begin = x
+            if at < end:
+                found.append(at)
+        cuts.append(np.array(found, np.int64))
+    new = np.sort(np.concatenate(cuts), kind="stable")
+    return new, np.searchsorted(offsets, new[:-1], "right") - 1 if len(new) > 1 else np.zeros(0, np.int64)
+
+
 def mix64(h: np.ndarray) -> np.ndarray:
     """Finalise 64-bit hashes (splitmix)."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

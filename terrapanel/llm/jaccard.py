@@ -10,16 +10,21 @@ parity bitmaps bounds the set difference from below, hence the overlap from
 above; pairs that pass have their sorted arrays intersected exactly.
 
 Three measures keep groups of copies from giving all their pairs while
-components are sought: equal sets are one class, represented by its smallest doc_id;
-cheap keys (pairs of minima) link a document with the smallest holder of the
-key after exact verification; tiles then only compare documents that these
-links have not put into one component yet, which can't change any component. All links of each class are then counted
-inside the components (link_counts).
+components are sought: equal sets are one class, which is one node;
+cheap keys (pairs of minima) link a class with the first holder of the
+key after exact verification; tiles then only compare classes that these
+links have not put into one component yet, which can't change any component. A
+tile of many rows is dealt into cells, pairs of its parts, so that no task
+holds a whole one. All links of each class are then counted inside the
+components (link_counts).
 
 Defined cases: null, empty and white-space texts have an empty set and link with
 nothing; a text of fewer words than a shingle has its whole sequence as one;
-repeated rows (also of doc_id) are members of one class; extra columns are
-ignored; an empty table gives no rows. Rows without doc_id are left out.
+rows that repeat a doc_id, with one text or several, are each judged by their
+own text; rows without doc_id are judged, too, but never name a component: its
+id is the smallest doc_id that is known, null if none is. Long texts are read in
+parts of about a megabyte, cut at white space. Extra columns are ignored; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, broadcast_if_small, connected_components, materialize, mix64, row_chunks, shuffle_partitions, text_buffer, tidy, words
+from .common import bounded_batches, broadcast_if_small, connected_components, lookup, materialize, mix64, row_chunks, scratch_scope, shuffle_partitions, split_rows, text_buffer, tidy, words
 
 #: A hash is common from this share of the documents on; common hashes come last in the order.
 COMMON = 0.001
@@ -38,7 +43,11 @@ COMMON = 0.001
 BITS, WIDE = 1024, 4096
 #: Cheap keys, and minima in each.
 CHEAP, MINIMA = 4, 2
-#: Hashes in a block of a component's sets, when links are counted; each set counts 256 more, so a block has 1,024 at most.
+#: Rows of a tile that one cell compares.
+TILE = 4096
+#: Common hashes that come last in the order, at most; others keep the order of their values.
+MOST_COMMON = 1 << 20
+#: Hashes in a block of a component's sets, when links are counted; each set counts 256 more, so a block has about 1,024 at most.
 BLOCK = 1 << 18
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -46,24 +55,43 @@ _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B
 def shingle_sets(col: pa.Array, size: int):
     """For each row of a string column its set: sorted distinct 64-bit hashes of its shingles of size words."""
     buf, offsets = text_buffer(col)
-    for a, b in row_chunks(offsets):
-        _, _, rows, h = words(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+    parts, owner = split_rows(buf, offsets)
+    waiting: list[np.ndarray] = []  # hashes of a long row's parts so far
+    done = 0
+    for a, b in row_chunks(parts):
+        _, _, rows, h = words(buf[parts[a] : parts[b]], parts[a : b + 1] - parts[a])
         at = np.searchsorted(rows, np.arange(b - a + 1))
-        n = len(h) - size + 1
-        rolled = np.zeros(max(n, 0), np.uint64)
-        for k in range(size if n > 0 else 0):
-            rolled = mix64(rolled * np.uint64(3) + h[k : k + n] + np.uint64(k + 1))
+        rolled = _rolled(h, size)
         for i in range(b - a):
+            last = int(parts[a + i + 1]) == int(offsets[done + 1]) if len(parts) > len(offsets) else True
             x, y = int(at[i]), int(at[i + 1])
-            if y - x >= size:
-                yield np.unique(rolled[x : y - size + 1])
-            elif y > x:
-                whole = np.array([y - x], np.uint64)
-                for k in range(x, y):
-                    whole = mix64(whole * np.uint64(5) + h[k : k + 1] + np.uint64(77))
-                yield whole
+            if not last or waiting:
+                waiting.append(h[x:y])
+                if last:
+                    whole = np.concatenate(waiting)
+                    yield _set_of(whole, _rolled(whole, size), 0, len(whole), size)
+                    waiting = []
             else:
-                yield np.zeros(0, np.uint64)
+                yield _set_of(h, rolled, x, y, size)
+            done += last
+
+
+def _rolled(h: np.ndarray, size: int) -> np.ndarray:
+    n = len(h) - size + 1
+    out = np.zeros(max(n, 0), np.uint64)
+    for k in range(size if n > 0 else 0):
+        out = mix64(out * np.uint64(3) + h[k : k + n] + np.uint64(k + 1))
+    return out
+
+
+def _set_of(h: np.ndarray, rolled: np.ndarray, x: int, y: int, size: int) -> np.ndarray:
+    """The set of the words x to y."""
+    if y - x >= size:
+        return np.unique(rolled[x : y - size + 1])
+    whole = np.array([y - x] if y > x else [], np.uint64)
+    for k in range(x, y):
+        whole = mix64(whole * np.uint64(5) + h[k : k + 1] + np.uint64(77))
+    return whole
 
 
 def signature(s: np.ndarray) -> bytes:
@@ -108,11 +136,11 @@ def cheap_keys(s: np.ndarray) -> list[int]:
 
 
 def common_hashes(docs: DataFrame, size: int, n_docs: int) -> np.ndarray:
-    """Hashes in COMMON of all documents or more, rarest first.
+    """Hashes in COMMON of all documents or more, rarest first, the MOST_COMMON most frequent at most.
 
-    Bounded whatever the input: documents of w shingles on average have at most
-    w / COMMON of them. Each batch passes on only what is common in it; the
-    order is a matter of speed, any gives the same links.
+    Each batch passes on only what is common in it. The order is a matter of
+    speed, any gives the same links: so a hash that is left out here only keeps
+    its place by value.
     """
 
     @tidy
@@ -124,12 +152,15 @@ def common_hashes(docs: DataFrame, size: int, n_docs: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(h[often].view(np.int64)), pa.array(n[often].astype(np.int64))], ["h", "n"])
 
     found = docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    rows = found.where(F.col("n") >= max(4, COMMON * n_docs)).orderBy("n", "h").select("h").toPandas()
-    return rows["h"].to_numpy(np.int64).view(np.uint64)
+    rows = found.where(F.col("n") >= max(4, COMMON * n_docs)).orderBy(F.desc("n"), "h").select("h").limit(MOST_COMMON).toPandas()
+    return rows["h"].to_numpy(np.int64)[::-1].view(np.uint64)
+
+
+_SHAPE = "n long, class_key binary, sig binary, cheap array<long>, prefix array<long>"
 
 
 def profiles(docs: DataFrame, size: int, percent: int, common: np.ndarray) -> DataFrame:
-    """doc_id, n, class_key (of equal sets), sig, cheap (keys), prefix (hashes)."""
+    """docs (doc_id, text_key, text): doc_id, text_key, n, class_key (of equal sets), sig, cheap (keys), prefix (hashes)."""
     known = docs.sparkSession.sparkContext.broadcast((np.sort(common), np.argsort(common)))
 
     @tidy
@@ -139,7 +170,7 @@ def profiles(docs: DataFrame, size: int, percent: int, common: np.ndarray) -> Da
         often, place = known.value
         for batch in batches:
             rows = []
-            for s in shingle_sets(batch.column(1), size):
+            for s in shingle_sets(batch.column(2), size):
                 n = len(s)
                 if not n:
                     rows.append((0, None, None, [], []))
@@ -153,14 +184,43 @@ def profiles(docs: DataFrame, size: int, percent: int, common: np.ndarray) -> Da
                 rows.append((n, xxhash.xxh3_128_digest(s.tobytes()), signature(s), cheap_keys(s), order[:keep].view(np.int64)))
             cols = list(zip(*rows, strict=True)) or [()] * 5
             types = [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), t) for c, t in zip(cols, types, strict=True))], ["doc_id", "n", "class_key", "sig", "cheap", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(list(c), t) for c, t in zip(cols, types, strict=True))], ["doc_id", "text_key", "n", "class_key", "sig", "cheap", "prefix"])
+
+    return docs.select("doc_id", "text_key", "text").mapInArrow(run, f"doc_id long, text_key binary, {_SHAPE}")
+
+
+class Source:
+    """The documents (doc_id, text_key, text) that sets are made of again; repeats says whether rows are there twice."""
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, class_key binary, sig binary, cheap array<long>, prefix array<long>")
+    def __init__(self, docs: DataFrame, size: int, percent: int, repeats: bool) -> None:
+        self.docs, self.size, self.percent, self.repeats = docs.withColumn("at", _at()), size, percent, repeats
+
+    def sets(self, nodes: DataFrame) -> DataFrame:
+        """(node, s): the sets, as bytes, of nodes (node, at, class_key)."""
+        n, size = nodes.count(), self.size
+        some = self.docs.join(broadcast_if_small(nodes.select("at"), n), "at", "left_semi")
+        some = some.dropDuplicates(["at"]) if self.repeats else some
+
+        @tidy
+        def as_sets(batches):
+            import xxhash
+
+            for batch in batches:
+                sets = [s.tobytes() for s in shingle_sets(batch.column(0), size)]
+                yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), pa.array(sets, pa.binary())], ["class_key", "s"])
+
+        # the class itself tells a node's own text from another of the same hash
+        return some.select("text").mapInArrow(as_sets, "class_key binary, s binary").join(nodes.select("node", "class_key"), "class_key").select("node", "s")
+
+
+def _at():
+    """A hash by which a row is found again."""
+    return F.xxhash64("doc_id", "text_key")
 
 
 def possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that the bit counts of sets' (doc_id, n, sig) leave possible."""
-    sides = [sets.select(F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), F.col("sig").alias(f"s{c}")) for c in "ab"]
+    """The pairs (a, b) that the bit counts of sets' (node, n, sig) leave possible."""
+    sides = [sets.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sig").alias(f"s{c}")) for c in "ab"]
 
     @tidy
     def test(batches):
@@ -172,20 +232,12 @@ def possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(test, "a long, b long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets' similarity is percent / 100 or more, by intersecting their sorted arrays."""
-    pairs = materialize(pairs.distinct(), "pairs")
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    n = ids.count()
-    some = docs.join(broadcast_if_small(ids, n), "doc_id", "left_semi").dropDuplicates(["doc_id"]) if n > 2_000_000 else docs.join(F.broadcast(ids), "doc_id", "left_semi")
-
-    @tidy
-    def as_sets(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch.column(1), size)], pa.binary())], ["doc_id", "s"])
-
-    sets = some.mapInArrow(as_sets, "doc_id long, s binary")
-    joined = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
+def verified(pairs: DataFrame, reps: DataFrame, source: Source) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets' similarity is percent / 100 or more, by intersecting their sorted arrays."""
+    pairs, percent = materialize(pairs.distinct(), "pairs"), source.percent
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    sets = source.sets(reps.select("node", "at", "class_key").join(ends, "node", "left_semi"))
+    joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
 
     @tidy
     def test(batches):
@@ -204,25 +256,27 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
 
 
 def _tile_pairs(percent: int):
-    """Kernel over rows sorted by tile (key, band) and size: candidate pairs of different components."""
+    """Kernel over rows sorted by cell (key, band, x, y) and size: candidate pairs of different components.
+
+    Rows of a cell are of part x or y of a tile; pairs are of different parts, or of any two rows where x is y.
+    """
 
-    def pairs_of(tile, home, n, comp, doc, sig):
+    def pairs_of(cell, apart, part, home, n, comp, node, sig):
         found = []
         narrow = _bitmaps(sig, False)
-        for o in range(1, len(tile)):
-            i = np.arange(len(tile) - o)
-            near = (tile[i] == tile[i + o]) & (percent * n[i + o] <= 100 * n[i])
-            if not near.any():
+        i = np.arange(len(cell))
+        for o in range(1, len(cell)):
+            i = i[i + o < len(cell)]
+            i = i[(cell[i] == cell[i + o]) & (percent * n[i + o] <= 100 * n[i])]  # by size: what is too far apart stays so
+            if not len(i):
                 break
-            i = i[near & (home[i] | home[i + o]) & (comp[i] != comp[i + o])]
-            j = i + o
-            total = n[i] + n[j]
-            most = (total - np.bitwise_count(narrow[i] ^ narrow[j]).sum(1, dtype=np.int64)) // 2  # overlap's upper bound
-            i = i[100 * most >= percent * (total - most)]
-            if len(i):
-                j = i + o
-                i = i[may_link(n[i], n[j], [sig[x] for x in i], [sig[x] for x in j], percent)]
-                found.append(np.stack([np.minimum(doc[i], doc[i + o]), np.maximum(doc[i], doc[i + o])], 1))
+            k = i[(home[i] | home[i + o]) & (comp[i] != comp[i + o]) & (~apart[i] | (part[i] != part[i + o]))]
+            total = n[k] + n[k + o]
+            most = (total - np.bitwise_count(narrow[k] ^ narrow[k + o]).sum(1, dtype=np.int64)) // 2  # overlap's upper bound
+            k = k[100 * most >= percent * (total - most)]
+            if len(k):
+                k = k[may_link(n[k], n[k + o], [sig[x] for x in k], [sig[x + o] for x in k], percent)]
+                found.append(np.stack([np.minimum(node[k], node[k + o]), np.maximum(node[k], node[k + o])], 1))
         return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
 
     @tidy
@@ -230,18 +284,17 @@ def _tile_pairs(percent: int):
         kept: list[pa.RecordBatch] = []
 
         def flush(rows: pa.Table):
-            a = [rows.column(c).to_numpy() for c in ("key", "band", "home", "n", "comp", "doc_id")]
-            sig = rows.column("sig").to_pylist()
-            tile = np.cumsum(np.concatenate([[0], (a[0][1:] != a[0][:-1]) | (a[1][1:] != a[1][:-1])]))
-            p = pairs_of(tile, a[2].astype(bool), a[3], a[4], a[5], sig)
+            key, band, x, y, part, home, n, comp, node = (rows.column(c).to_numpy() for c in ("key", "band", "x", "y", "part", "home", "n", "comp", "node"))
+            changes = (key[1:] != key[:-1]) | (band[1:] != band[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+            p = pairs_of(np.cumsum(np.concatenate([[0], changes])), x != y, part, home.astype(bool), n, comp, node, rows.column("sig").to_pylist())
             return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], ["a", "b"])
 
-        for batch in batches:  # the last tile of a batch may go on in the next
+        for batch in batches:  # the last cell of a batch may go on in the next
             if not batch.num_rows:
                 continue
             kept.append(batch)
-            key, band = batch.column("key").to_numpy(), batch.column("band").to_numpy()
-            other = np.flatnonzero((key != key[-1]) | (band != band[-1]))
+            cols = [batch.column(c).to_numpy() for c in ("key", "band", "x", "y")]
+            other = np.flatnonzero(np.any([c != c[-1] for c in cols], axis=0))
             if len(other):
                 cut = int(other[-1]) + 1
                 yield flush(pa.Table.from_batches([*kept[:-1], batch.slice(0, cut)]))
@@ -252,46 +305,39 @@ def _tile_pairs(percent: int):
     return run
 
 
-def link_counts(members: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(class_id, n_links): how many others of its component each of members (doc_id, class_key, n, comp) links to, exactly.
+def _band(percent: int):
+    """Sizes by factors of 100 / percent: sets that link lie in one band or in two that follow each other."""
+    return F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)) + 1e-9).cast("int")
 
-    Links only join members of one component. Its members, in order of size, go
-    in blocks of BLOCK hashes (a larger set by itself), and pairs of blocks whose sizes may
-    link are counted set by set in one task each: pairs of documents are never rows.
-    """
-    w = W.partitionBy("comp").orderBy("n", "doc_id")
-    start = F.coalesce(F.sum(F.col("n") + 256).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    several = members.groupBy("comp").agg(F.count("*").alias("c")).where("c > 1").select("comp")
-    placed = members.join(several, "comp").withColumn("block", F.floor(start / BLOCK).cast("int")).select("doc_id", "class_key", "n", "comp", "block")
-    placed = materialize(placed, "placed")
-    blocks = placed.groupBy("comp", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    x, y = (blocks.select("comp", F.col("block").alias(c), F.col("low").alias(f"l{c}"), F.col("high").alias(f"h{c}")) for c in "ij")
-    pairs = x.join(y, "comp").where((F.col("i") <= F.col("j")) & (percent * F.col("lj") <= 100 * F.col("hi"))).select("comp", "i", "j")
-    sides = pairs.select("comp", F.col("i").alias("block"), "i", "j").union(pairs.where("i < j").select("comp", F.col("j").alias("block"), "i", "j"))
 
-    @tidy
-    def as_sets(batches):
-        import xxhash
+def _cells(share: str, parts: str):
+    """The cells (x, y) of a row in part `share` of `parts`: with each other part, and its own."""
+    return F.transform(F.sequence(F.lit(0), F.col(parts) - 1), lambda o: F.struct(F.least(F.col(share), o).alias("x"), F.greatest(F.col(share), o).alias("y")))
 
-        for batch in batches:
-            sets = [s.tobytes() for s in shingle_sets(batch.column(1), size)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), pa.array(sets, pa.binary())], ["doc_id", "class_key", "s"])
 
-    sets = docs.join(placed.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(as_sets, "doc_id long, class_key binary, s binary").dropDuplicates(["doc_id", "class_key"])
-    rows = placed.drop("n").join(sets, ["doc_id", "class_key"]).drop("class_key").join(sides, ["comp", "block"])
+def _share_of(parts):
+    """A node's part, by its hash."""
+    return F.pmod(F.xxhash64(F.col("node"), F.lit("part")), parts).cast("int")
 
-    def count(table: pa.Table) -> pa.Table:
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        block, ids = table.column("block").to_numpy(), table.column("doc_id").to_numpy()
-        each = [np.frombuffer(z.as_buffer(), np.uint64) for z in table.column("s").combine_chunks()]
-        _, code = np.unique(np.concatenate(each), return_inverse=True)
-        n = np.array([len(z) for z in each])
-        ends = np.cumsum(n)
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        # the right side's hashes in one array; each left set marks its own
-        flat = np.concatenate([code[ends[k] - n[k] : ends[k]] for k in right])
-        starts = np.cumsum(n[right]) - n[right]
-        mark, found = np.zeros(code.max() + 1, np.int64), np.zeros(len(ids), np.int64)
+
+def tile_candidates(named: DataFrame, percent: int, n_rows: int) -> DataFrame:
+    """Pairs (a, b) of named (node, comp, n, sig, prefix) that meet in a tile, are of different components and pass the bit counts."""
+    spark = named.sparkSession
+    parts = shuffle_partitions(spark)
+    rows = named.select("node", "comp", F.explode("prefix").alias("key"))
+    shared = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("c")).where("low < high")
+    shared = materialize(shared.select("key", "c", F.ceil(F.col("c") / TILE).cast("int").alias("parts")), "shared")
+    meet = lookup(rows.select("key", "node"), shared, "key", shared.where(F.col("c") > n_rows / (8 * parts)).select("key")).where("parts is not null")
+    meet = meet.join(named.select("node", "comp", "n", "sig"), "node").withColumn("part", _share_of(F.col("parts"))).withColumn("cell", F.explode(_cells("part", "parts")))
+    meet = meet.withColumn("own", _band(percent)).withColumn("band", F.explode(F.array(F.col("own"), F.col("own") + 1))).withColumn("home", (F.col("own") == F.col("band")).cast("int"))
+    tiles = meet.select("key", "band", "cell.x", "cell.y", "part", "home", "n", "comp", "node", "sig").repartition(parts, "key", "band", "x", "y").sortWithinPartitions("key", "band", "x", "y", "n", "node")
+    return tiles.mapInArrow(_tile_pairs(percent), "a long, b long")
+
+
+def _count_links(percent: int):
+    """Of one unit, its components one after another: each node's links from the left side to the right one, or inside one side."""
+
+    def links(left, right, flat, n, found, starts, ends, code, mark):
         for k in left:
             own = code[ends[k] - n[k] : ends[k]]
             mark[own] = 1
@@ -299,56 +345,129 @@ def link_counts(members: DataFrame, docs: DataFrame, size: int, percent: int) ->
             mark[own] = 0
             link = (100 * both >= percent * (n[k] + n[right] - both)) & (right != k)
             found[k] += link.sum()
-            if i != j:
-                found[right] += link
-        return pa.table({"class_id": pa.array(ids), "n_links": pa.array(found)})
+            yield link
 
-    return rows.groupBy("comp", "i", "j").applyInArrow(count, "class_id long, n_links long").groupBy("class_id").agg(F.sum("n_links").alias("n_links"))
+    def count(table: pa.Table) -> pa.Table:
+        comp, left_side, node = table.column("comp").to_numpy(), table.column("left").to_numpy(), table.column("node").to_numpy()
+        right_side, bands = table.column("right").to_numpy(), table.column("s").combine_chunks()
+        found = np.zeros(len(node), np.int64)
+        order = np.argsort(comp, kind="stable")
+        cuts = [*np.flatnonzero(np.append(True, comp[order][1:] != comp[order][:-1])).tolist(), len(order)]
+        for u, v in zip(cuts, cuts[1:], strict=False):
+            at = order[u:v]
+            each = [np.frombuffer(bands[int(z)].as_buffer(), np.uint64) for z in at]
+            _, code = np.unique(np.concatenate(each), return_inverse=True)
+            n = np.array([len(z) for z in each])
+            ends = np.cumsum(n)
+            left, right = np.flatnonzero(left_side[at]), np.flatnonzero(right_side[at])
+            if not len(left) or not len(right):
+                continue
+            flat = np.concatenate([code[ends[k] - n[k] : ends[k]] for k in right])
+            starts = np.cumsum(n[right]) - n[right]
+            own, mark = np.zeros(len(at), np.int64), np.zeros(code.max() + 1, np.int64)
+            inside = bool((left_side[at] & right_side[at]).any())
+            for link in links(left, right, flat, n, own, starts, ends, code, mark):
+                if not inside:
+                    own[right] += link
+            found[at] += own
+        return pa.table({"node": pa.array(node), "n_links": pa.array(found)})
+
+    return count
+
+
+def link_counts(members: DataFrame, source: Source) -> DataFrame:
+    """(node, n_links): how many others of its component each of members (node, at, class_key, n, comp) links to, exactly.
+
+    Links only join members of one component. Components of up to BLOCK hashes
+    are dealt whole, many to a task. The members of a larger one go by bands of
+    size into parts of about BLOCK hashes, and pairs of parts of one band or two
+    that follow each other are counted in a task each: pairs of documents are
+    never rows.
+    """
+    percent = source.percent
+    members = members.withColumn("w", F.col("n") + 256).withColumn("band", _band(percent))
+    sizes = members.groupBy("comp").agg(F.count("*").alias("c"), F.sum("w").alias("total")).where("c > 1")
+    by_band = members.groupBy("comp", "band").agg(F.ceil(F.sum("w") / BLOCK).cast("int").alias("parts"))
+    w = W.partitionBy("comp").orderBy("band")
+    beside = lambda f, d: F.when(f("band").over(w) == F.col("band") + d, f("parts").over(w))
+    by_band = by_band.select("comp", "band", "parts", F.coalesce(beside(F.lead, 1), F.lit(0)).alias("above"), F.coalesce(beside(F.lag, -1), F.lit(0)).alias("below"))
+    wide = sizes.where(F.col("total") > BLOCK).select("comp", F.lit(True).alias("wide"))
+    groups = materialize(by_band.join(sizes.select("comp"), "comp", "left_semi").join(wide, "comp", "left").select(F.struct("comp", "band").alias("at_band"), F.coalesce("wide", F.lit(False)).alias("wide"), "parts", "above", "below"), "groups")
+    small = sizes.where(F.col("total") <= BLOCK).agg(F.sum("total")).head()[0] or 0
+    placed = lookup(members.withColumn("at_band", F.struct("comp", "band")), groups, "at_band").where("wide is not null")
+    placed = placed.withColumn("part", _share_of(F.col("parts")))
+    unit = lambda a, i, b, j: F.struct(F.col("comp").alias("of"), a.alias("a"), i.alias("i"), b.alias("b"), j.alias("j"), (a == F.col("band")) & (i == F.col("part")), (b == F.col("band")) & (j == F.col("part")))
+    band, part = F.col("band"), F.col("part")
+    same = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: unit(band, F.least(part, o), band, F.greatest(part, o)))
+    above = F.when(F.col("above") > 0, F.transform(F.sequence(F.lit(0), F.col("above") - 1), lambda o: unit(band, part, band + 1, o)))
+    below = F.when(F.col("below") > 0, F.transform(F.sequence(F.lit(0), F.col("below") - 1), lambda o: unit(band - 1, o, band, part)))
+    names = ["of", "a", "i", "b", "j", "left", "right"]
+    shape = "array<struct<of: long, a: int, i: int, b: int, j: int, left: boolean, right: boolean>>"
+    whole = F.array(F.struct(F.pmod(F.xxhash64("comp"), F.lit(1 + int(small) // BLOCK)), F.lit(-1), F.lit(-1), F.lit(-1), F.lit(-1), F.lit(True), F.lit(True)))
+    every = [x.cast(shape) for x in (whole, same, above, below)]
+    empty = F.array().cast(shape)
+    units = F.when(F.col("wide"), F.concat(every[1], F.coalesce(every[2], empty), F.coalesce(every[3], empty))).otherwise(every[0])
+    placed = materialize(placed.select("node", "at", "class_key", "comp", units.alias("units")), "placed")
+    rows = placed.select("node", "comp", F.explode("units").alias("u")).join(source.sets(placed.select("node", "at", "class_key")), "node")
+    rows = rows.select("node", "comp", "s", *[F.col(f"u.{c}").alias(c) for c in names])
+    counted = rows.groupBy(*names[:5]).applyInArrow(_count_links(percent), "node long, n_links long")
+    return counted.groupBy("node").agg(F.sum("n_links").alias("n_links"))
 
 
 def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80, links_too: bool = True) -> DataFrame:
-    """docs (doc_id, text): doc_id, n_shingles, class_id, n_links, component_id of every row with a doc_id.
+    """docs (doc_id, text): doc_id, n_shingles, class_id, n_links, component_id of every row.
 
     class_id is the smallest doc_id with an equal set, n_links counts all links
-    from the class to other classes. links_too = False leaves n_links out.
+    from the class to other classes; links_too = False leaves n_links out.
+    text_key is the MD5 of the row's text; keeper (doc_id, text_key) names the
+    row of its component that stays when duplicates go: that of smallest doc_id.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null")
-    parts = shuffle_partitions(spark)
-    common = common_hashes(docs, size, docs.count())
-    every = materialize(profiles(docs, size, percent, common), "profiles")
-    classes = every.where("n > 0").groupBy("class_key").agg(F.min("doc_id").alias("class_id"))
-    reps = every.where("n > 0").join(classes.select(F.col("class_id").alias("doc_id"), F.col("class_key").alias("own")), "doc_id").where("own = class_key").drop("own").dropDuplicates(["doc_id"])
-    reps = materialize(reps, "reps")
-
-    keys = reps.select("doc_id", "n", F.explode("cheap").alias("key"))
-    first = keys.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("f"), F.count("*").alias("c")).where("c > 1").select("key", "f")
-    star = keys.join(first, "key").where("f.doc_id <> doc_id").where((percent * F.col("n") <= 100 * F.col("f.n")) & (percent * F.col("f.n") <= 100 * F.col("n")))
-    star = possible(star.select(F.col("f.doc_id").alias("a"), F.col("doc_id").alias("b")), reps.select("doc_id", "n", "sig"), percent)
-    links = materialize(verified(star, docs, size, percent), "links")
+    docs = docs.select(F.col("doc_id").cast("long"), "text").withColumn("text_key", F.unhex(F.md5("text"))).select("doc_id", "text_key", "text")
+    parts, n_docs = shuffle_partitions(spark), docs.count()
+    every = materialize(profiles(docs, size, percent, common_hashes(docs, size, n_docs)), "profiles")
+    source = Source(docs, size, percent, not every.groupBy("doc_id", "text_key").agg(F.count("*").alias("c")).where("c > 1").isEmpty())
+
+    # copies are folded into their class before the shuffle; a row without doc_id leads only where no other is
+    rank = F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id"), F.col("text_key"))
+    one = F.min_by(F.struct("n", "sig", "cheap", "prefix"), rank)
+    reps = every.where("n > 0").groupBy("class_key").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"), F.min(rank).alias("keeper"), one.alias("one"))
+    reps = reps.select("class_key", "class_id", "copies", "keeper", "one.*", F.xxhash64("keeper.doc_id", "keeper.text_key").alias("at"))
+    reps = materialize(reps.withColumn("node", F.monotonically_increasing_id()), "reps")  # numbered once, as written
+
+    keys = reps.select("node", "n", F.explode("cheap").alias("key"))
+    first = keys.groupBy("key").agg(F.min(F.struct("node", "n")).alias("f"), F.count("*").alias("c")).where("c > 1")
+    first = materialize(first, "first")
+    n_keys = CHEAP * n_docs
+    star = lookup(keys, first.select("key", "f"), "key", first.where(F.col("c") > n_keys / (8 * parts)).select("key"))
+    star = star.where("f.node <> node").where((percent * F.col("n") <= 100 * F.col("f.n")) & (percent * F.col("f.n") <= 100 * F.col("n")))
+    star = possible(star.select(F.col("f.node").alias("a"), F.col("node").alias("b")), reps.select("node", "n", "sig"), percent)
+    links = materialize(verified(star, reps, source), "links")
     comps = connected_components(links)
 
-    named = reps.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
-    rows = named.select("doc_id", "comp", F.explode("prefix").alias("key"))
-    shared = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
-    meet = rows.select("key", "doc_id").join(shared, "key").join(named.select("doc_id", "comp", "n", "sig"), "doc_id")
-    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)) + 1e-9).cast("int")
-    meet = meet.withColumn("own", band).withColumn("band", F.explode(F.array(F.col("own"), F.col("own") + 1))).withColumn("home", (F.col("own") == F.col("band")).cast("int"))
-    tiles = meet.select("key", "band", "home", "n", "comp", "doc_id", "sig").repartition(parts, "key", "band").sortWithinPartitions("key", "band", "n", "doc_id")
-    more = materialize(verified(tiles.mapInArrow(_tile_pairs(percent), "a long, b long"), docs, size, percent), "links")
-
-    links = links.union(more).distinct()
-    final = connected_components(links)
-    classes = classes.join(final.withColumnRenamed("node", "class_id"), "class_id", "left")
+    named = reps.select("node", "n", "sig", "prefix").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    more = materialize(verified(tile_candidates(named, percent, n_docs), reps, source), "links")
+
+    final = connected_components(links.union(more).distinct())
+    linked = reps.select("node", "at", "class_key", "n", "class_id", "keeper").join(final, "node")
+    comp_of = linked.groupBy("comp").agg(F.min("class_id").alias("component_id"), F.min("keeper").alias("keeper"))
+    linked = lookup(linked.drop("keeper"), materialize(comp_of, "components"), "comp")
     if links_too:
-        members = reps.select("doc_id", "class_key", "n").join(final.withColumnRenamed("node", "doc_id"), "doc_id")
-        classes = classes.join(link_counts(members, docs, size, percent), "class_id", "left")
-    out = every.select("doc_id", "n", "class_key").join(classes, "class_key", "left")
+        linked = linked.join(link_counts(linked.select("node", "at", "class_key", "n", "comp"), source), "node", "left")
+    several = reps.where("copies > 1").join(final, "node", "left_anti").select("class_key", "class_id", F.col("class_id").alias("component_id"), "keeper", *[F.lit(0).cast("long").alias("n_links")] * links_too)
+    classes = materialize(linked.select(*several.columns).union(several), "classes")
+    often = reps.where(F.col("copies") > n_docs / (8 * parts)).select("class_key")
+    out = lookup(every.select("doc_id", "text_key", "n", "class_key"), classes, "class_key", often)
+    known = F.col("keeper").isNotNull()
+    pick = lambda c: F.when(known, F.col(c)).otherwise(F.col("doc_id")).alias(c)
+    keeper = F.when(known, F.struct("keeper.doc_id", "keeper.text_key")).otherwise(F.struct("doc_id", "text_key")).alias("keeper")
     counted = [F.coalesce("n_links", F.lit(0)).alias("n_links")] if links_too else []
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), *counted, F.coalesce("comp", "class_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), pick("class_id"), *counted, pick("component_id"), "text_key", keeper)
 
 
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return similar_groups(docs, size=4, percent=85).select("doc_id", "n_shingles", "n_links", "component_id")
+    with scratch_scope(spark):
+        found = similar_groups(docs, size=4, percent=85).select("doc_id", "n_shingles", "n_links", "component_id")
+        return materialize(found, "op4", keep=True)
