@@ -8,14 +8,16 @@ each joint are repaired: the text between the last sure boundary before the cut
 and the first after it is encoded again, and the region grows until its ends
 fall on token boundaries of the chunks on both sides. A sure boundary is a place
 between a character other than white space and a blank that another such
-character follows: the vocabulary's pattern never joins these.
+character follows, in any script: the vocabulary's pattern never joins these.
 
 Ids are those of the tokenizers library for the same vocabulary file; strings of
 special tokens in a text get the special id. Documents keep no state between
 them but the table.
 
-Defined cases: null and empty texts have no ids; long texts are cut like any;
-repeated rows are each encoded (from the table); extra columns are ignored.
+Defined cases: null and empty texts have no ids; long texts are cut like any,
+and long runs of white space go to the merges by themselves, as the pattern's
+search can't take them; repeated rows are each encoded (from the table); a null
+doc_id stays null; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +37,14 @@ from .common import tidy, worker_cache
 VOCABULARY = "byte_bpe_50k"
 #: A chunk ends where the rolling hash of the last WINDOW bytes has MASK's bits zero: 2 KB on average.
 WINDOW, MASK = 16, 0x7FF
+#: Runs of so much white space are parted from the text before the pattern sees it.
+LONG_RUN = 1000
+#: The pattern's white space: Unicode's property White_Space.
+BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_RUN = re.compile(f"[{BLANKS}]{{{LONG_RUN},}}")
+_BLANK = re.compile(f"[{BLANKS}]")
 #: Chunks that a worker remembers; beyond, the oldest half goes.
-REMEMBERED = 8_000
+REMEMBERED = 16_000
 
 
 def vocabulary_file(suffix: str) -> str:
@@ -60,14 +69,30 @@ class Coder:
             self.bytes_of[i] = piece
         self.length_of = np.array([len(x) for x in self.bytes_of], np.int64)
         self.chunks: dict[bytes, np.ndarray] = {}
+        self.asked = self.made = 0  # chunks looked up, and those not in the table
 
     def direct(self, text: str) -> np.ndarray:
-        """Ids of a text without special tokens, in one go."""
+        """Ids of a text without special tokens, in one go.
+
+        A long run of white space is one piece of the pattern, but for its last
+        character where text follows, which may belong to the next piece.
+        """
+        out, at = [], 0
+        for run in _RUN.finditer(text) if len(text) >= LONG_RUN else ():
+            end = run.end() - (run.end() < len(text))
+            out += [self._short(text[at : run.start()]), np.array(self.plain._core_bpe.encode_single_piece(text[run.start() : end].encode()), np.uint32)]
+            at = end
+        out.append(self._short(text[at:]))
+        return out[0] if len(out) == 1 else np.concatenate(out)
+
+    def _short(self, text: str) -> np.ndarray:
         return np.frombuffer(self.plain._core_bpe.encode_to_tiktoken_buffer(text, set()), np.uint32) if text else np.zeros(0, np.uint32)
 
     def chunk(self, data: bytes) -> np.ndarray:
         ids = self.chunks.get(data)
+        self.asked += 1
         if ids is None:
+            self.made += 1
             ids = self.direct(data.decode())
             if len(self.chunks) >= REMEMBERED:
                 for k in list(self.chunks)[: REMEMBERED // 2]:
@@ -152,8 +177,15 @@ def chunk_cuts(data: bytes) -> list[int]:
 
 
 def _sure(data: bytes, i: int) -> bool:
-    """A blank at i between two ASCII characters other than white space."""
-    return data[i] == 32 and 0x21 <= data[i - 1] < 0x7F and 0x21 <= data[i + 1] < 0x7F
+    """A blank at i between two characters other than white space."""
+    if data[i] != 32:
+        return False
+    a, b = i - 1, i + 2
+    while a > 0 and data[a] & 0xC0 == 0x80:
+        a -= 1
+    while b < len(data) and data[b] & 0xC0 == 0x80:
+        b += 1
+    return not (_BLANK.match(data[a:i].decode()) or _BLANK.match(data[i + 1 : b].decode()))
 
 
 def sure_before(data: bytes, cut: int) -> int:
@@ -162,7 +194,8 @@ def sure_before(data: bytes, cut: int) -> int:
     while i > 0:
         if i + 1 < len(data) and _sure(data, i):
             return i
-        i = data.rfind(b" ", 0, i)
+        run = len(data[max(0, i - LONG_RUN) : i + 1].rstrip(b" "))  # over a run of blanks in few steps
+        i = data.rfind(b" ", 0, max(0, i - LONG_RUN) + run) if run else i - LONG_RUN
     return 0
 
 
@@ -172,7 +205,8 @@ def sure_after(data: bytes, cut: int) -> int:
     while 0 <= i < len(data) - 1:
         if _sure(data, i):
             return i
-        i = data.find(b" ", i + 1)
+        more = data[i : i + LONG_RUN]
+        i = data.find(b" ", i + max(1, len(more) - len(more.lstrip(b" "))))
     return len(data)
 
 
