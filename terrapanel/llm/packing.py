@@ -7,13 +7,16 @@ program - fewest sequences whose contents cover every length's count - is solved
 by multiplicative weights: each round a knapsack by dynamic programming prices
 the best fillings under the lengths' weights, some that share no length are
 taken, and the weights of what they cover fall, until all lengths are covered to
-the same share within TOLERANCE. The solution is rounded to whole sequences, and
-what rounding leaves is placed best-fit, longest first. Pieces then look up their
+the same share within TOLERANCE. The solution is rounded to whole sequences.
+What rounding leaves is priced once more, around the longest piece left each
+time, by a knapsack that knows how many pieces there are. This is done at each
+of RATES, and the plan of fewest sequences is kept. Pieces then look up their
 places by their rank among pieces of their length; ranks come from counts by
 bucket and length, so nothing is sorted in one task.
 
 Defined cases: null and empty texts are the end id alone; repeated rows are
-packed each (ties of doc_id get a number of their own); an empty table gives no
+packed each (ties of doc_id get a number of their own), rows without doc_id,
+too; a long text is encoded whole and cut by its ids; an empty table gives no
 rows; extra columns are ignored.
 """
 
@@ -33,11 +36,13 @@ from .common import bounded_batches, materialize, shuffle_partitions, tidy
 
 CAPACITY, END = 1024, 2
 #: Shares of the lengths' needs agree within TOLERANCE of the largest; a filling adds STEP to a share at most.
-TOLERANCE, STEP = 0.1, 0.125
-#: A share's weight falls by exp(-RATE) for each need covered, to none from AHEAD of the least share on.
-RATE, AHEAD = 8.0, 0.5
+TOLERANCE, STEP = 0.3, 0.25
+#: A share's weight falls by exp(-rate) for each need covered, to none from AHEAD of the least share on.
+RATES, AHEAD = (0.1, 0.3), 0.5
 #: Fillings worth this much less than the best one are taken with it.
-SLACK = 0.02
+SLACK = 0.001
+#: In the rest, a piece that fills a sequence is worth this much more than one of no length, by its size.
+LARGE_FIRST = 0.2
 
 
 def knapsack(value: np.ndarray, capacity: int) -> tuple[np.ndarray, list[int]]:
@@ -56,27 +61,29 @@ def knapsack(value: np.ndarray, capacity: int) -> tuple[np.ndarray, list[int]]:
     return best, choice
 
 
-def cover(need: np.ndarray, capacity: int) -> tuple[dict[tuple[int, ...], float], np.ndarray]:
-    """Fillings with amounts, and by length the share of its need that they cover; shares agree within TOLERANCE.
+def cover(need: np.ndarray, capacity: int, rate: float = RATES[-1]) -> tuple[dict[tuple[int, ...], float], np.ndarray, float]:
+    """Fillings with amounts, by length the share of its need that they cover (shares agree within TOLERANCE), and a lower bound on the sequences.
 
     A round prices one knapsack and takes of its best fillings, around each
     length, those that share no length. None adds more than STEP to a share and
     one share at least gains STEP, and lengths AHEAD of the least covered one
     have no price: shares differ by AHEAD + 2 STEP at most while the least one
     grows, so the rounds end, after a number in proportion to the lengths.
+    Any weights bound the program from below: all needs' worth over a filling's.
     """
     there = np.flatnonzero(need > 0)
     share = np.zeros(capacity + 1)
     taken: dict[tuple[int, ...], float] = {}
-    want = need.tolist()
+    want, bound = need.tolist(), 0.0
     while len(there):
         now = share[there]
         low = now.min()
         if low > 0 and low >= (1 - TOLERANCE) * now.max():
             break
         weight = np.zeros(capacity + 1)
-        weight[there] = np.where(now <= low + AHEAD, there / capacity * np.exp(-RATE * (now - low)), 0.0)
+        weight[there] = np.where(now <= low + AHEAD, there / capacity * np.exp(-rate * (now - low)), 0.0)
         best, choice = knapsack(weight, capacity)
+        bound = max(bound, float(need @ weight) / best[capacity])
         used: set[int] = set()
         for length in [0, *there[np.argsort(now, kind="stable")].tolist()]:  # 0: the best filling of all
             if length and (length in used or weight[length] + best[capacity - length] < (1 - SLACK) * best[capacity]):
@@ -98,7 +105,7 @@ def cover(need: np.ndarray, capacity: int) -> tuple[dict[tuple[int, ...], float]
             taken[fill] = taken.get(fill, 0.0) + amount
             for k, n in many.items():
                 share[k] += amount * n / want[k]
-    return taken, share
+    return taken, share, bound
 
 
 def rounded(taken: dict[tuple[int, ...], float], share: np.ndarray, left: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
@@ -116,46 +123,68 @@ def rounded(taken: dict[tuple[int, ...], float], share: np.ndarray, left: np.nda
     return out
 
 
+def _among(value: np.ndarray, left: np.ndarray, room: int) -> dict[int, int]:
+    """Of left[l] pieces of each length l those of greatest value that fit the room: {length: how many}."""
+    best = np.zeros(room + 1)
+    taken = []
+    for l in np.flatnonzero(left[: room + 1] > 0)[::-1].tolist():
+        rest, m = min(int(left[l]), room // l), 1
+        while rest:  # 1, 2, 4, ... pieces of the length make up any number
+            m = min(m, rest)
+            gain = best[: room + 1 - l * m] + value[l] * m
+            better = gain > best[l * m :]
+            if better.any():
+                best[l * m :] = np.where(better, gain, best[l * m :])
+                taken.append((l, m, better))
+            rest, m = rest - m, 2 * m
+    at, out = int(best.argmax()), {}
+    for l, m, better in reversed(taken):
+        if at >= l * m and better[at - l * m]:
+            out[l] = out.get(l, 0) + m
+            at -= l * m
+    return out
+
+
+def _rest(left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Fillings of all pieces left, each around the longest one left and as often as there are pieces for it."""
+    out = []
+    value = np.arange(capacity + 1) / capacity
+    value *= 1 + LARGE_FIRST * value
+    while left.any():
+        longest = int(np.flatnonzero(left)[-1])
+        left[longest] -= 1
+        many = _among(value, left, capacity - longest)
+        many[longest] = many.get(longest, 0) + 1
+        left[longest] += 1
+        n = min(int(left[k]) // m for k, m in many.items())
+        for k, m in many.items():
+            left[k] -= m * n
+        out.append((tuple(sorted((k for k, m in many.items() for _ in range(m)), reverse=True)), n))
+    return out
+
+
+def solve(counts: np.ndarray, capacity: int = CAPACITY) -> tuple[list[tuple[tuple[int, ...], int]], dict[str, float]]:
+    """As plan, and figures: sequences, their lower bound, and of the sequences that aren't one whole piece those that the rounded program gave."""
+    whole, need = int(counts[capacity]), counts.astype(np.int64).copy()
+    need[[0, capacity]] = 0
+    best, low = None, 0.0
+    for rate in RATES if need.any() else ():
+        left = need.copy()
+        taken, share, bound = cover(need.astype(float), capacity, rate)
+        out = rounded(taken, share, left)
+        by_program = sum(n for _, n in out)
+        out += _rest(left, capacity)
+        total, low = sum(n for _, n in out), max(low, bound)
+        if best is None or total < best[0]:
+            best = total, by_program, out
+    total, by_program, out = best or (0, 0, [])
+    figures = {"sequences": whole + total, "bound": whole + low, "mixed": total, "by_program": by_program}
+    return [((capacity,), whole)] * (whole > 0) + out, figures
+
+
 def plan(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
     """(filling, how many sequences) covering counts[l] pieces of each length l exactly."""
-    left = counts.astype(np.int64).copy()
-    left[0] = 0
-    out: list[tuple[tuple[int, ...], int]] = []
-    if left[capacity]:
-        out.append(((capacity,), int(left[capacity])))
-        left[capacity] = 0
-    out += rounded(*cover(left.astype(float), capacity), left)
-    full = [x for x in out if sum(x[0]) == capacity]
-    return full + _best_fit(left, capacity, [x for x in out if sum(x[0]) < capacity])
-
-
-def _best_fit(left: np.ndarray, capacity: int, begun: list[tuple[tuple[int, ...], int]] = ()) -> list[tuple[tuple[int, ...], int]]:
-    """The lengths left, longest first, in the fullest sequence that still has room, those begun among them; equal sequences are handled together."""
-    open_: dict[int, dict[tuple[int, ...], int]] = {}  # room -> filling -> how many
-    for fill, many in begun:
-        open_.setdefault(capacity - sum(fill), {})[fill] = many
-    for length in range(capacity, 0, -1):
-        n = int(left[length])
-        while n:
-            room = min((r for r in open_ if r >= length), default=None)
-            if room is None:
-                fit = capacity // length
-                fill, many = (length,) * min(fit, n), max(1, n // fit)
-                open_.setdefault(capacity - length * len(fill), {})[fill] = open_.get(capacity - length * len(fill), {}).get(fill, 0) + many
-                n -= len(fill) * many
-                continue
-            fill, many = open_[room].popitem()
-            fit = min(room // length, n)
-            use = min(many, max(1, n // fit))
-            if many > use:
-                open_[room][fill] = many - use
-            if not open_[room]:
-                del open_[room]
-            new = fill + (length,) * fit
-            slot = open_.setdefault(room - fit * length, {})
-            slot[new] = slot.get(new, 0) + use
-            n -= fit * use
-    return [(fill, many) for slot in open_.values() for fill, many in slot.items()]
+    return solve(counts, capacity)[0]
 
 
 def places(fillings: list[tuple[tuple[int, ...], int]], capacity: int = CAPACITY) -> dict[int, np.ndarray]:
