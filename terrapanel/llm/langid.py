@@ -14,7 +14,9 @@ Defined cases: a text that is null or has no letter is "und" with score 0; so is
 every text when nothing labelled can be learned from. The score is the best
 language's share of the probabilities per word (all languages alike beforehand),
 so it doesn't saturate on long texts. Ties go to the first language in order.
-Repeated rows are judged alike; extra columns are ignored.
+Repeated rows are judged alike, rows without doc_id, too. Long texts are read in
+parts of two megabytes. Extra columns are kept, but for lang_pred and score,
+which are replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,12 +29,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import LOWER, bounded_batches, mix64, powers, row_chunks, text_buffer, tidy, words
+from .common import LOWER, bounded_batches, mix64, powers, row_chunks, split_rows, text_buffer, tidy, words
 
 VOCABULARY = "piece_bpe_32k.model"
 MAX_PIECE, MAX_WORD = 8, 32
-#: At most so many labelled rows of a language are learned from (those of smallest hash), and so many rounds of fitting.
-SAMPLE, ROUNDS = 300, 3
+#: At most so many labelled rows of a language are learned from (those of smallest hash, of at most SAMPLE_BYTES each), in so many rounds.
+SAMPLE, SAMPLE_BYTES, ROUNDS = 300, 1 << 17, 3
+#: At most so many languages are learned, those of most labelled rows.
+LANGUAGES = 256
 _LETTER = regex.compile(r"\p{L}")
 _TABLE_BITS = 18
 
@@ -167,26 +171,29 @@ def fit(texts: list[str], langs: list[str], rounds: int = ROUNDS) -> dict:
 def predict(model: dict, table: PieceTable, col: pa.Array) -> tuple[list[str], list[float]]:
     names, out, scores = model["langs"], [], []
     buf, offsets = text_buffer(col)
-    for a, b in row_chunks(offsets, 1 << 21):
-        part, at = buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-        total, count = np.zeros((b - a, len(names))), np.bincount([], minlength=b - a)
-        if names and len(part):
+    parts, owner = split_rows(buf, offsets, 1 << 21, MAX_WORD - 1)
+    total, count = np.zeros((len(col), len(names))), np.zeros(len(col), np.int64)
+    for a, b in row_chunks(parts, 1 << 21) if names else ():
+        part, at = buf[parts[a] : parts[b]], parts[a : b + 1] - parts[a]
+        if len(part):
             starts, ends, rows, inverse = distinct_words(part, at)
-            each = word_scores(table, model["probs"], part, starts, ends)
-            count = np.bincount(rows, minlength=b - a)
+            each, first = word_scores(table, model["probs"], part, starts, ends), owner[a]
+            rows = owner[a:b][rows] - first
+            many = np.bincount(rows)
+            count[first : first + len(many)] += many
             for k in range(len(names)):
-                total[:, k] = np.bincount(rows, weights=each[inverse, k], minlength=b - a)
-        for i in range(b - a):
-            text = col[a + i].as_py()
-            if not names or not text or not _LETTER.search(text):
-                out.append("und")
-                scores.append(0.0)
-                continue
-            mean = total[i] / max(1, count[i])
-            share = np.exp(mean - mean.max())
-            best = int(total[i].argmax())
-            out.append(names[best])
-            scores.append(float(share[best] / share.sum()))
+                total[first : first + len(many), k] += np.bincount(rows, weights=each[inverse, k])
+    for i, text in enumerate(col):
+        text = text.as_py()
+        if not names or not text or not _LETTER.search(text):
+            out.append("und")
+            scores.append(0.0)
+            continue
+        mean = total[i] / max(1, count[i])
+        share = np.exp(mean - mean.max())
+        best = int(total[i].argmax())
+        out.append(names[best])
+        scores.append(float(share[best] / share.sum()))
     return out, scores
 
 
@@ -195,22 +202,27 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def labelled_sample(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], list[str]]:
-    """Texts and languages of at most sample rows of each language that isn't held out."""
-    ids = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("doc_id", "lang")
+    """Texts and languages of at most sample rows of each language that isn't held out; rows that repeat doc_id, text and language count once."""
+    rows = docs.where(F.col("lang").isNotNull() & (F.octet_length("text") <= SAMPLE_BYTES) & ~held_out()).withColumn("key", F.xxhash64("text"))
+    ids = rows.select("doc_id", "lang", "key").distinct()
+    langs = ids.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).select("lang")
     # counts by the hash's first byte tell how far the smallest hashes reach: 256 rows a language at most
-    ids = ids.withColumn("slot", F.shiftright(F.xxhash64("doc_id"), 56))
+    ids = ids.join(F.broadcast(langs), "lang", "left_semi").withColumn("slot", F.shiftright(F.xxhash64("doc_id"), 56))
     before = F.sum("n").over(W.partitionBy("lang").orderBy("slot").rowsBetween(W.unboundedPreceding, -1))
     slots = ids.groupBy("lang", "slot").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(before, F.lit(0)))
     ids = ids.join(F.broadcast(slots.where(F.col("before") < sample).select("lang", "slot")), ["lang", "slot"])
-    w = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = ids.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= sample).select("doc_id").distinct()
-    rows = docs.join(F.broadcast(ids), "doc_id").where("text is not null and lang is not null").select("doc_id", "text", "lang").orderBy("doc_id").collect()
-    return [r.text for r in rows], [r.lang for r in rows]
+    w = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "key")
+    ids = ids.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= sample).select("doc_id", "key", "lang")
+    ids = ids.withColumnsRenamed({"doc_id": "i", "key": "k", "lang": "l"})
+    same = F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k")) & (F.col("lang") == F.col("l"))
+    found = rows.join(F.broadcast(ids), same, "left_semi").groupBy("doc_id", "key", "lang").agg(F.min("text").alias("text")).orderBy("doc_id", "key", "lang").collect()
+    return [r.text for r in found], [r.lang for r in found]
 
 
 def identify(docs: DataFrame, model: dict) -> DataFrame:
     """docs with lang_pred and score."""
     bounded_batches(docs.sparkSession)
+    docs = docs.drop("lang_pred", "score")
     names = docs.columns
     at = names.index("text")
     schema = StructType(list(docs.schema.fields)).add("lang_pred", "string").add("score", "double")

@@ -11,7 +11,9 @@ failing matches are dropped and not retried. The method adds url (scheme,
 then a value in quotes or a run of 16 or more word characters).
 
 Defined cases: null and empty texts have no spans; offsets are code points, end
-exclusive; repeated rows are each judged; extra columns are ignored.
+exclusive; long texts are read once, from anchor to anchor; repeated rows are
+each judged; a null doc_id stays null; extra columns are ignored; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -149,10 +151,12 @@ def _url(text: str, at: int) -> tuple[int, int] | None:
         start -= 1
     while start < at and not (text[start].isascii() and text[start].isalpha()):
         start += 1
+    if start == at:  # before anything is read to the right, so that a run of anchors takes one pass
+        return None
     end, n = at + 3, len(text)
     while end < n and not text[end].isspace() and text[end] not in "<>\"'":
         end += 1
-    return (start, end) if start < at and end > at + 3 else None
+    return (start, end) if end > at + 3 else None
 
 
 def _secret(text: str, end: int) -> tuple[int, int] | None:

@@ -9,8 +9,9 @@ is three table reads for two bytes. Training (Adam, by hand-written gradients,
 which pass only through the places that won the pooling) uses a bounded sample.
 
 Defined cases: null and empty texts are one chunk of zero bytes and get that
-chunk's score; without labelled rows all scores are 0.5. Repeated rows are
-scored alike; extra columns are ignored.
+chunk's score; without labelled rows all scores are 0.5. Long texts are read in
+parts of whole chunks. Repeated rows are scored alike, rows without doc_id, too;
+extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import row_chunks, text_buffer, tidy
+from .common import CHUNK_BYTES, bounded_batches, row_chunks, text_buffer, tidy
 from .langid import held_out
 
 FILTERS, EMBED, PAIRS = 16, 8, 3
@@ -28,15 +29,16 @@ FILTERS, EMBED, PAIRS = 16, 8, 3
 CHUNK, STRIDE = 256, 192
 #: Bytes back that the repeat channel looks at.
 REPEAT = 16
-#: At most so many labelled rows are learned from (those of smallest hash); epochs; rows a step.
-SAMPLE, EPOCHS, BATCH = 400, 16, 32
+#: At most so many labelled rows are learned from (those of smallest hash, of at most SAMPLE_BYTES each); epochs; rows a step.
+SAMPLE, SAMPLE_BYTES, EPOCHS, BATCH = 400, 1 << 18, 16, 32
 THRESHOLD = 0.7
 
 
 def encode(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Pairs of bytes (with the repeat bit) of all texts one after another, and each chunk's start, end and text."""
     size = np.diff(offsets)
-    steps = np.maximum(-(-size // 2), 1) + PAIRS - 1  # zero steps part the texts
+    useful = np.maximum(-(-size // 2), 1)
+    steps = useful + PAIRS - 1 + REPEAT // 2  # zero steps part the texts, so that none looks into another
     at = np.concatenate([[0], np.cumsum(steps)])
     b = np.zeros(2 * at[-1] + 4, np.uint8)
     b[np.arange(len(buf)) + np.repeat(2 * at[:-1] - offsets[:-1], size)] = buf
@@ -47,7 +49,6 @@ def encode(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     again &= four != 0
     n = at[-1]
     pairs = b[: 2 * n : 2].astype(np.int32) | b[1 : 2 * n : 2].astype(np.int32) << 8 | again[: 2 * n : 2].astype(np.int32) << 16
-    useful = steps - PAIRS + 1
     chunks = np.maximum(-(-(useful - (CHUNK - STRIDE)) // STRIDE), 1)
     rows = np.repeat(np.arange(len(size)), chunks)
     k = np.arange(len(rows)) - np.repeat(np.cumsum(chunks) - chunks, chunks)
@@ -155,22 +156,46 @@ def score_texts(p: dict | None, t: np.ndarray | None, col: pa.Array) -> np.ndarr
     buf, offsets = text_buffer(col)
     out = np.zeros(len(col))
     for a, b in row_chunks(offsets):
+        if offsets[b] - offsets[a] > CHUNK_BYTES:  # one long text
+            out[a] = _score_long(p, t, buf[offsets[a] : offsets[b]])
+            continue
         pairs, start, end, rows = encode(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
         m, _ = pooled(t, p["bias"], pairs, start, end)
         out[a:b] = combine(p, m, rows, b - a)[2]
     return out
 
 
+def _score_long(p: dict, t: np.ndarray, data: np.ndarray) -> float:
+    """One text's score, by parts of whole chunks; each part sees the bytes around it that its filters reach."""
+    useful = -(-len(data) // 2)
+    chunks = max(-(-(useful - (CHUNK - STRIDE)) // STRIDE), 1)
+    total, high, per = np.zeros(FILTERS), np.zeros(FILTERS), max(1, CHUNK_BYTES // (2 * STRIDE))
+    for c in range(0, chunks, per):
+        k = np.arange(min(per, chunks - c))
+        lo = 2 * c * STRIDE
+        back = min(lo, REPEAT)
+        part = data[lo - back : lo + 2 * (int(k[-1]) * STRIDE + CHUNK + PAIRS) + 4]
+        start = back // 2 + k * STRIDE
+        end = np.minimum(start + CHUNK, back // 2 + useful - c * STRIDE)
+        m, _ = pooled(t, p["bias"], encode(part, np.array([0, len(part)]))[0], start, end)
+        total += m.sum(0, dtype=np.float64)
+        high = np.maximum(high, m.max(0))
+    z = float(total / chunks @ p["u"] + high @ p["v"] + p["b"])
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[list[str], list[int]]:
-    """At most sample labelled texts that aren't held out, the share of each label as it is."""
+    """At most sample labelled texts that aren't held out, the share of each label as it is; of a doc_id's texts the least by hash."""
     usable = labels.where(F.col("quality").isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     some = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").orderBy("doc_id").collect()
-    return [r.text or "" for r in rows], [int(r.quality) for r in rows]
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES).join(F.broadcast(some), "doc_id")
+    rows = rows.groupBy("doc_id", "quality").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).orderBy("doc_id").collect()
+    return [r.text for r in rows], [int(r.quality) for r in rows]
 
 
 def score(docs: DataFrame, model: dict | None) -> DataFrame:
     """docs (doc_id, text) scored: doc_id, score."""
+    bounded_batches(docs.sparkSession)
     known = docs.sparkSession.sparkContext.broadcast(model)  # a few thousand numbers
 
     @tidy
