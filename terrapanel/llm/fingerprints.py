@@ -3,12 +3,15 @@
 Canonical form: NFKC, Spark's upper and then lower case, NFKC again, runs of
 Unicode white space as one blank, none at the ends. The digest is two xxhash64 values of
 it (128 bits). Buckets of equal digests are compared by their bytes: a bucket
-holding two different canonical texts gets the SHA-256 of the text appended, so
-that equal fingerprints mean equal canonical texts.
+holding two different canonical texts gets the SHA-256 of the text appended, for
+documents and edited texts alike, so that equal fingerprints mean equal
+canonical texts.
 
 Defined cases: a null text counts as empty; an empty text has a fingerprint like
 any other. Repeated rows and ties of doc_id are ordered by the text's hash, so
 "next" is defined. A null doc_id sorts first. An only document is its own next.
+Long texts are handled whole; extra columns are ignored; an empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -17,10 +20,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialize, shuffle_partitions
+from .common import broadcast_if_small, lookup, materialize, scratch_scope, shuffle_partitions
 
 #: ICU's static normaliser, which Spark itself carries for its collations.
 NORMALIZER = "com.ibm.icu.text.Normalizer"
+#: Colliding digests that are resolved, at most.
+LIMIT = 1000
+
+
 def nfkc(text: Column) -> Column:
     full = F.call_function("reflect", F.lit(NORMALIZER), F.lit("compose"), text, F.lit(True))
     return F.when(F.octet_length(text) == F.length(text), text).otherwise(full)  # ASCII is normal
@@ -33,9 +40,13 @@ def with_canonical(rows: DataFrame, text: str, name: str) -> DataFrame:
     return steps.withColumn(name, F.trim(F.regexp_replace(name, r"(?U)\s+", " ")))
 
 
-def with_digest(rows: DataFrame, text: str, name: str) -> DataFrame:
-    """Adds the digest of a text column's canonical form."""
-    return with_canonical(rows, text, "canon").withColumn(name, digest(F.col("canon"))).drop("canon")
+def with_digest(rows: DataFrame, text: str, name: str, bad: list[str] = ()) -> DataFrame:
+    """Adds the digest of a text column's canonical form; to those in bad its SHA-256 is appended."""
+    canon = with_canonical(rows, text, "canon")
+    if bad:
+        canon = canon.withColumn("wide", digest(F.col("canon")))
+        return canon.withColumn(name, F.when(F.col("wide").isin(bad), F.concat_ws("-", "wide", F.sha2("canon", 256))).otherwise(F.col("wide"))).drop("canon", "wide")
+    return canon.withColumn(name, digest(F.col("canon"))).drop("canon")
 
 
 def digest(canon: Column) -> Column:
@@ -43,40 +54,36 @@ def digest(canon: Column) -> Column:
     return F.lower(F.concat(*wide))
 
 
-def collisions(rows: DataFrame, docs: DataFrame) -> DataFrame:
+def collisions(rows: DataFrame, docs: DataFrame) -> list[str]:
     """Digests (fp) of rows (doc_id, fp) that stand for different canonical texts in docs (doc_id, text).
 
     Only buckets of two rows or more are read again; a bucket's least and
     greatest canonical text, combined before the shuffle, are the same bytes or
-    it is a collision.
+    it is a collision. Of 128-bit digests there are none but by design of the
+    texts; over LIMIT of them is an error.
     """
-    again = rows.groupBy("fp").agg(F.count("*").alias("copies")).where("copies > 1").select("fp")
-    n = again.count()
-    if not n:
-        return again
-    ids = rows.join(broadcast_if_small(again, n, 500_000), "fp", "left_semi").select("doc_id").distinct()
-    some = docs.join(broadcast_if_small(ids, ids.count()), "doc_id", "left_semi")
+    again = rows.groupBy("fp").agg(F.count("*").alias("copies")).where("copies > 1").select("fp", F.lit(True).alias("again"))
+    again = materialize(again, "again")
+    if again.isEmpty():
+        return []
+    place = F.coalesce("doc_id", F.lit(0)).alias("place")  # a row without doc_id is looked up as 0: some more rows are read
+    ids = lookup(rows, again, "fp").where("again").select(place).distinct()
+    some = docs.select("text", place).join(broadcast_if_small(ids, ids.count()), "place", "left_semi")
     some = with_canonical(some, "text", "canon").withColumn("fp", digest(F.col("canon")))
-    return some.groupBy("fp").agg(F.min("canon").alias("low"), F.max("canon").alias("high")).where("low <> high").select("fp")
-
-
-def _resolved(rows: DataFrame, docs: DataFrame) -> DataFrame:
-    """rows (doc_id, fp, ...) with the SHA-256 of the canonical text appended to colliding digests."""
-    bad = collisions(rows.select("doc_id", "fp"), docs).withColumn("bad", F.lit(True))
-    n = bad.count()
-    if not n:
-        return rows
-    texts = with_canonical(docs, "text", "canon").withColumn("fp", digest(F.col("canon"))).join(broadcast_if_small(bad, n), "fp", "left_semi")
-    exact = texts.select("doc_id", "fp", F.sha2("canon", 256).alias("exact")).distinct()
-    return rows.join(exact, ["doc_id", "fp"], "left").withColumn("fp", F.concat_ws("-", "fp", "exact")).drop("exact")
+    found = some.groupBy("fp").agg(F.min("canon").alias("low"), F.max("canon").alias("high")).where("low <> high").select("fp").limit(LIMIT + 1).collect()
+    if len(found) > LIMIT:
+        raise ValueError(f"more than {LIMIT} digests collide")
+    return [r.fp for r in found]
 
 
 def exact_groups(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text): doc_id, fingerprint, copies and keeper (smallest doc_id of the group)."""
     docs = docs.select("doc_id", "text")
-    rows = _resolved(materialize(with_digest(docs, "text", "fp").select("doc_id", "fp"), "digests"), docs).withColumnRenamed("fp", "fingerprint")
-    groups = rows.groupBy("fingerprint").agg(F.count("*").alias("copies"), F.min("doc_id").alias("keeper"))
-    return rows.join(groups, "fingerprint")
+    rows = materialize(with_digest(docs, "text", "fp").select("doc_id", "fp"), "digests")
+    bad = collisions(rows, docs)
+    rows = materialize(with_digest(docs, "text", "fp", bad).select("doc_id", "fp"), "digests") if bad else rows
+    groups = rows.groupBy("fp").agg(F.count("*").alias("copies"), F.min("doc_id").alias("keeper"))
+    return lookup(rows, materialize(groups, "groups"), "fp").withColumnRenamed("fp", "fingerprint")
 
 
 def _bucket(column: Column, bounds: list) -> Column:
@@ -91,7 +98,7 @@ def _bucket(column: Column, bounds: list) -> Column:
     return F.when(column.isNull(), 0).otherwise(tree(0, len(bounds)))
 
 
-def with_next(rows: DataFrame) -> DataFrame:
+def with_next(rows: DataFrame, bad: list[str] = ()) -> DataFrame:
     """rows (doc_id, text) with fp, and text and fp of the next row by doc_id; after the last comes the first.
 
     Rows are dealt to ranges of doc_id, four for each shuffle partition; each
@@ -108,17 +115,25 @@ def with_next(rows: DataFrame) -> DataFrame:
     guests = spark.createDataFrame(guests, "to int, gid long, gorder long")
     copied = placed.join(F.broadcast(guests), placed["doc_id"].eqNullSafe(guests["gid"]) & (placed["order"] == guests["gorder"]))
     copied = copied.dropDuplicates(["to"]).select("doc_id", "text", F.col("to").alias("range"), "order", F.lit(1).alias("guest"))
-    both = with_digest(placed.withColumn("guest", F.lit(0)).unionByName(copied), "text", "fp")
+    both = with_digest(placed.withColumn("guest", F.lit(0)).unionByName(copied), "text", "fp", bad)
     w = W.partitionBy("range").orderBy("guest", "doc_id", "order")
     out = both.select("doc_id", "text", "fp", "guest", F.lead("text").over(w).alias("next_text"), F.lead("fp").over(w).alias("next_fp"))
     return out.where("guest = 0").drop("guest")
 
 
-def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+def with_edited(docs: DataFrame, bad: list[str] = ()) -> DataFrame:
+    """docs (doc_id, text): doc_id, n_chars, edited_sha256, fp, edited_fp, near_edited, near_next."""
     n, half = F.length("text"), F.floor(F.length("text") / 2).cast("int")
-    rows = with_next(docs).withColumns({"n_chars": n.cast("long"), "edited": F.concat(F.col("text").substr(F.lit(1), n - half), F.col("next_text").substr(F.lit(1), half))})
-    rows = with_digest(rows.drop("text", "next_text").withColumn("edited_sha256", F.sha2("edited", 256)), "edited", "edited_fp").drop("edited")
+    rows = with_next(docs, bad).withColumns({"n_chars": n.cast("long"), "edited": F.concat(F.col("text").substr(F.lit(1), n - half), F.col("next_text").substr(F.lit(1), half))})
+    rows = with_digest(rows.drop("text", "next_text").withColumn("edited_sha256", F.sha2("edited", 256)), "edited", "edited_fp", bad).drop("edited")
     like = lambda a, b: (F.col(a) == F.col(b)).cast("double")
-    rows = rows.select("doc_id", "n_chars", "edited_sha256", "fp", "edited_fp", like("fp", "edited_fp").alias("near_edited"), like("fp", "next_fp").alias("near_next"))
-    return _resolved(materialize(rows, "digests"), docs).withColumnsRenamed({"fp": "fingerprint", "edited_fp": "edited_fingerprint"})
+    return rows.select("doc_id", "n_chars", "edited_sha256", "fp", "edited_fp", like("fp", "edited_fp").alias("near_edited"), like("fp", "next_fp").alias("near_next"))
+
+
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = materialize(with_edited(docs), "op10")
+    with scratch_scope(spark):
+        bad = collisions(rows.select("doc_id", "fp"), docs)
+    rows = materialize(with_edited(docs, bad), "op10") if bad else rows
+    return rows.withColumnsRenamed({"fp": "fingerprint", "edited_fp": "edited_fingerprint"})

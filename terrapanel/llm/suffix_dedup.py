@@ -23,8 +23,10 @@ document with a smaller doc_id. The work is a sparse suffix sort:
 
 Defined cases: null and empty texts have nothing to remove; so have texts
 shorter than `span`. Matches never cross documents; rows of one doc_id don't
-count against each other. Extra columns are ignored, an empty table gives no
-rows, a null doc_id counts as the smallest.
+count against each other; rows that repeat doc_id and text are worked once and
+told the result. Long texts are searched in parts of REACH bytes. Extra columns
+are ignored (or carried, if asked for, whatever their names), an empty table
+gives no rows, a null doc_id counts as the smallest.
 """
 
 from __future__ import annotations
@@ -35,12 +37,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
-from .common import BASE, bounded_batches, broadcast_if_small, mix64, release, row_chunks, shuffle_partitions, text_buffer, tidy
+from .common import BASE, bounded_batches, broadcast_if_small, lookup, materialize, mix64, release, row_chunks, shuffle_partitions, text_buffer, tidy
 
 SPAN, SEED = 50, 24
-#: Bytes of text in a block of documents, and buckets for each shuffle partition.
-BLOCK_BYTES, BUCKETS = 4 << 20, 4
+#: Bytes of text in a block of documents; buckets for each shuffle partition at least, and bytes of text for a bucket at most.
+BLOCK_BYTES, BUCKETS, BUCKET_BYTES = 4 << 20, 4, 64 << 20
 #: Text that anchors are searched in at once, so that one long document stays within memory.
 REACH = 1 << 18
 _NULL_ID = -(1 << 63)
@@ -350,8 +354,9 @@ def _marks(span: int):
 _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def _cut(span: int, carry: tuple[str, ...] | None):
-    left, with_text = span - SEED, carry is not None
+def _cut(span: int, with_text: bool, carried: str):
+    left = span - SEED
+    kind = to_arrow_type(DataType.fromDDL(carried))  # as the result's type: every field may be null
 
     def run(docs: pa.Table, marks: pa.Table) -> pa.Table:
         docs, ids, buf, offsets = _block_rows(docs)
@@ -361,8 +366,10 @@ def _cut(span: int, carry: tuple[str, ...] | None):
             at = offsets[row] + pos
             for k in range(left + 1):
                 begins[at[(mask >> np.uint32(k)) & 1 > 0] - k] = True
-        total = np.concatenate([np.zeros(span, np.int64), np.cumsum(begins[: len(buf)])])
+        total = np.zeros(len(buf) + span, np.int32 if len(buf) < 1 << 31 else np.int64)
+        np.cumsum(begins[: len(buf)], out=total[span:])
         gone = total[span:] > total[: len(buf)]  # a window began in the last span bytes
+        del total, begins
         edge = gone.copy()
         edge[1:] &= ~gone[:-1]
         starts = offsets[:-1][offsets[:-1] < len(buf)]
@@ -373,9 +380,9 @@ def _cut(span: int, carry: tuple[str, ...] | None):
             rows.append((b - a, b - a - len(kept), int(edge[a:b].sum()), hashlib.sha256(kept).hexdigest(), *((kept.decode("utf-8", "ignore"),) if with_text else ())))
         cols = list(zip(*rows, strict=True)) or [()] * (4 + with_text)
         types = [pa.int64()] * 3 + [pa.string()] * (1 + with_text)
-        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else []), *(carry or ())]
+        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else []), "carried"]
         shown = pa.array(np.where(ids == _NULL_ID, 0, ids), pa.int64(), mask=ids == _NULL_ID)
-        return pa.table([shown, *(pa.array(c, t) for c, t in zip(cols, types, strict=True)), *(docs.column(c) for c in carry or ())], names=names)
+        return pa.table([shown, *(pa.array(c, t) for c, t in zip(cols, types, strict=True)), docs.column("carried").cast(kind)], names=names)
 
     return run
 
@@ -390,34 +397,54 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, carry: tuple[str, ...] | N
     spark = docs.sparkSession
     bounded_batches(spark)
     ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID).cast("long"))
-    extra = list(carry or ())
-    docs = docs.select(ids.alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *extra)
+    text, with_text = F.coalesce("text", F.lit("")), carry is not None
+    if clash := set(carry or ()) & {"doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"}:
+        raise ValueError(f"the result has columns of its own named {sorted(clash)}")
+    # what is carried goes in one column, so that its names meet none of those here
+    rows = docs.select(ids.alias("doc_id"), text.alias("text"), F.sha2(text, 256).alias("same"), F.struct(F.lit(0).alias("_"), *[F.col(c) for c in carry or ()]).alias("carried"))
     size = docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0
-    parts = shuffle_partitions(spark)
-    buckets, blocks = parts * BUCKETS, max(1, -(-size // BLOCK_BYTES))
-    rows = docs.withColumn("same", F.sha2("text", 256))
-    copies = rows.groupBy("same").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("same", "first")
+    buckets, blocks = max(shuffle_partitions(spark) * BUCKETS, -(-size // BUCKET_BYTES)), max(1, -(-size // BLOCK_BYTES))
+    groups = rows.groupBy("same").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("c")).where("c > 1")
+    copies = groups.where("first < last").select("same", "first")
     n = copies.count()
     rows = rows.join(broadcast_if_small(copies, n, 500_000), "same", "left") if n else rows.withColumn("first", F.lit(None).cast("long"))
     is_copy = F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)) & (F.octet_length("text") >= span)
-    originals = rows.where(~is_copy).where("first is null or doc_id = first").withColumn("block", F.pmod(F.xxhash64("doc_id", "same"), F.lit(blocks)).cast("int")).select("doc_id", "text", "block", *extra)
+    originals = rows.where(~is_copy).where("first is null or doc_id = first")
+    twins = rows.select("doc_id", "same").groupBy("doc_id", "same").agg(F.count("*").alias("c")).where("c > 1").select("doc_id", "same")
+    twins = None if groups.isEmpty() or twins.isEmpty() else materialize(twins, "twins")
+    if twins is not None:  # of rows that repeat doc_id and text one is worked
+        n_twins = twins.count()
+        repeated = originals.join(broadcast_if_small(twins, n_twins, 500_000), ["doc_id", "same"], "left_semi")
+        one = repeated.select("doc_id", "same", "text", "first").dropDuplicates(["doc_id", "same"]).join(repeated.limit(0).select("carried"), F.lit(False), "left")
+        originals = originals.join(broadcast_if_small(twins, n_twins, 500_000), ["doc_id", "same"], "left_anti").unionByName(one.select(*originals.columns))
+    originals = originals.withColumn("block", F.pmod(F.xxhash64("doc_id", "same"), F.lit(blocks)).cast("int")).select("doc_id", "text", "block", F.struct("same", F.col("carried").alias("own")).alias("carried"))
     bare = originals.select("doc_id", "text", "block")
 
     found = bare.groupBy("block").applyInArrow(_anchor_rows(span, buckets), "bucket int, block int, payload binary")
     hints = found.groupBy("bucket").applyInArrow(_shared_anchors, "block int, payload binary")
     entries = bare.groupBy("block").cogroup(hints.groupBy("block")).applyInArrow(_surroundings(span, buckets), "bucket int, block int, payload binary")
     marks = entries.groupBy("bucket").applyInArrow(_marks(span), "block int, payload binary")
-    schema = _RESULT + (", kept string" if carry is not None else "") + "".join(f", {c} {t}" for c, t in originals.select(*extra).dtypes)
-    cut = originals.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(_cut(span, carry), schema)
+    carried = originals.schema["carried"].dataType.simpleString()
+    schema = f"{_RESULT}{', kept string' * with_text}, carried {carried}"
+    cut = originals.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(_cut(span, with_text, carried), schema)
+    results = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text]
+    cut = cut.select("doc_id", *results, F.col("carried.own").alias("carried"), F.col("carried.same").alias("same"))
+    shown = F.when(F.col("doc_id") != _NULL_ID, F.col("doc_id")).alias("doc_id")
+    if twins is not None:
+        key = F.struct(F.coalesce("doc_id", F.lit(_NULL_ID)).alias("doc_id"), F.col("same")).alias("key")
+        cut = materialize(cut, "cut")
+        worked = cut.join(broadcast_if_small(twins.select("same").distinct(), n_twins, 500_000), "same", "left_semi").select(key, *results)
+        told = lookup(repeated.select("doc_id", key, "carried"), worked, "key").select(shown, *results, "carried")
+        once = cut.select("*", key).join(broadcast_if_small(twins.select(key), n_twins, 500_000), "key", "left_anti")
+        cut = once.select("doc_id", *results, "carried").unionByName(told)
 
     # copies: whole texts repeat the first of their group; those shorter than the span have nothing to remove
     length = F.octet_length("text").cast("long")
     short = rows.where("first is not null and doc_id > first")
-    shown = F.when(F.col("doc_id") != _NULL_ID, F.col("doc_id")).alias("doc_id")
     whole = F.when(is_copy, length).otherwise(F.lit(0).cast("long"))
     kept = F.when(is_copy, F.lit("")).otherwise(F.col("text"))
-    rest = short.select(shown, length.alias("n_bytes"), whole.alias("n_removed"), is_copy.cast("long").alias("n_spans"), F.sha2(kept, 256).alias("kept_sha256"), *([kept.alias("kept"), *extra] if carry is not None else []))
-    return cut.unionByName(rest)
+    rest = short.select(shown, length.alias("n_bytes"), whole.alias("n_removed"), is_copy.cast("long").alias("n_spans"), F.sha2(kept, 256).alias("kept_sha256"), *[kept.alias("kept")] * with_text, "carried")
+    return cut.select("doc_id", *results, "carried").unionByName(rest).select("doc_id", *results, *[F.col("carried").getField(c).alias(c) for c in carry or ()])
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,12 +2,14 @@
 
 All steps are DataFrame functions. The Bloom filter is a table of blocks of 256
 bits (four longs); its number of blocks follows the counted list. Rows whose
-bits are all set are possible hits; a join on the canonical URL itself removes
-the false positives.
+bits are all set are possible hits; only these go into a join on the canonical
+URL itself, which removes the false positives. Blocks and listed URLs that many
+pages share are met by a broadcast (lookup), so no task gets a hot one whole.
 
 Defined cases: a null URL, or one without "://", has empty host and path, no
 canonical form and no rule, and is allowed. Repeated rows stay. An empty list
-lists nothing. Extra columns are ignored.
+lists nothing, an empty table gives no rows. Long URLs are compared whole. Extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -15,14 +17,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small
+from .common import lookup, materialize
 
 #: (host, path, verdict): a rule fits its host and subdomains where the path starts with the rule's; the longest fits first.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 #: Bits per listed URL and bits set by each, of the filter's 256-bit blocks.
 BITS_PER_URL, PROBES = 16, 6
-#: Host labels whose pages the query lists.
+#: The query's list: canonical URLs of hosts with one of these labels, and those whose MD5 begins with LISTED_DIGIT (one in 16).
 LISTED_LABELS = ("cheap-pills", "free-bets", "casino-win", "hot-singles")
+LISTED_DIGIT = "0"
 
 
 def host_of(url: Column) -> Column:
@@ -80,27 +83,24 @@ def url_filter(pages: DataFrame, listed: DataFrame, rules=RULES) -> DataFrame:
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
     rows = pages.select("page_id", host_of(u).alias("host"), path_of(u).alias("path"), canonical_of(u).alias("canonical"))
     rows = rows.select("*", rule.alias("rule"), verdict.alias("by_rule"))
-    urls = listed.select(canonical_of(u).alias("canonical")).where("canonical is not null").distinct()
-    n = urls.count()
-    blocks = max(1, -(-n * BITS_PER_URL // 256))
-    bloom = broadcast_if_small(bloom_blocks(urls, blocks), blocks, 1_000_000)
-    probe = rows.withColumn("block", F.pmod(F.xxhash64("canonical"), F.lit(blocks))).withColumns({f"b{i}": b for i, b in enumerate(_bits("canonical"))})
-    hit = F.lit(True)
+    urls = materialize(listed.select(canonical_of(u).alias("canonical")).where("canonical is not null").distinct(), "listed")
+    blocks = max(1, -(-urls.count() * BITS_PER_URL // 256))
+    key = F.when(F.col("canonical").isNotNull(), F.pmod(F.xxhash64("canonical"), F.lit(blocks)))
+    probe = lookup(rows.withColumn("block", key), bloom_blocks(urls, blocks), "block").withColumns({f"b{i}": b for i, b in enumerate(_bits("canonical"))})
+    hit = F.col("canonical").isNotNull()
     for i in range(4):
         hit = hit & (F.coalesce(F.col(f"w{i}"), F.lit(0)).bitwiseAND(F.col(f"b{i}")) == F.col(f"b{i}"))
-    probe = probe.join(bloom, "block", "left").withColumn("possible", F.col("canonical").isNotNull() & hit)
-    # only possible hits carry a key into the exact join, so that other rows never meet the list
-    found = probe.withColumn("key", F.when(F.col("possible"), F.col("canonical")))
-    exact = broadcast_if_small(urls.select(F.col("canonical").alias("key"), F.lit(True).alias("is_listed")), n, 200_000)
-    found = found.join(exact.hint("shuffle_hash") if n > 200_000 else exact, "key", "left")
-    is_listed = F.coalesce("is_listed", F.lit(False))
-    return found.select("page_id", "host", "path", "rule", F.coalesce("by_rule", F.when(is_listed, "block").otherwise("allow")).alias("verdict"), "canonical", is_listed.alias("listed"), "possible")
+    probe = probe.withColumn("possible", hit).select("page_id", "host", "path", "rule", "by_rule", "canonical", "possible")
+    found = lookup(probe.where("possible"), urls.withColumn("listed", F.lit(True)), "canonical").unionByName(probe.where("not possible").withColumn("listed", F.lit(False)))
+    listed_ = F.coalesce("listed", F.lit(False))
+    return found.select("page_id", "host", "path", "rule", F.coalesce("by_rule", F.when(listed_, "block").otherwise("allow")).alias("verdict"), "canonical", listed_.alias("listed"), "possible")
 
 
 def listed_urls(pages: DataFrame) -> DataFrame:
-    """The query's list: URLs of the pages whose host holds a label of LISTED_LABELS."""
+    """The query's list, taken from the pages' own URLs, so that variants of one URL, hits and others all occur."""
     labels = "|".join(LISTED_LABELS)
-    return pages.where(host_of(F.col("url")).rlike(rf"(^|\.)({labels})\.")).select("url")
+    u = F.col("url")
+    return pages.where(host_of(u).rlike(rf"(^|\.)({labels})\.") | F.md5(canonical_of(u)).startswith(LISTED_DIGIT)).select("url")
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,16 +111,21 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = r"""
 WITH parts AS (
   SELECT page_id, coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
-         coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path
+         coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path,
+         list_sort(list_filter(string_split(coalesce(regexp_extract(url, '^.*?://[^?#]*\?([^#]*)', 1, 's'), ''), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref)='))) AS query
   FROM pages
+), forms AS (
+  SELECT page_id, host, path, CASE WHEN host <> '' THEN regexp_replace(host, '^(www|m)\.', '') || regexp_replace(path, '/+$', '') || CASE WHEN len(query) > 0 THEN '?' || array_to_string(query, '&') ELSE '' END END AS canonical
+  FROM parts
+), listed AS (
+  SELECT DISTINCT canonical FROM forms WHERE canonical IS NOT NULL AND (regexp_matches(host, '(^|\.)(cheap-pills|free-bets|casino-win|hot-singles)\.') OR starts_with(md5(canonical), '0'))
 ), rules AS (
   SELECT * FROM (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')) t(h, p, v)
 ), fits AS (
-  SELECT page_id, host, path, first(h || p ORDER BY length(h || p) DESC) FILTER (WHERE h IS NOT NULL) AS rule, first(v ORDER BY length(h || p) DESC) FILTER (WHERE h IS NOT NULL) AS v
-  FROM parts LEFT JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
-  GROUP BY page_id, host, path
+  SELECT page_id, host, path, canonical, (SELECT h || p FROM rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) ORDER BY length(h || p) DESC LIMIT 1) AS rule
+  FROM forms
 )
 SELECT page_id, host, path, rule,
-       coalesce(v, CASE WHEN regexp_matches(host, '(^|\.)(cheap-pills|free-bets|casino-win|hot-singles)\.') THEN 'block' ELSE 'allow' END) AS verdict
-FROM fits
+       coalesce((SELECT v FROM rules WHERE h || p = rule), CASE WHEN f.canonical IN (SELECT canonical FROM listed) THEN 'block' ELSE 'allow' END) AS verdict
+FROM fits f
 """

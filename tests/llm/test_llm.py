@@ -306,3 +306,4 @@ def test_url_filters(spark):
     assert r[0] == r[1] == ("", "", None, "allow") and r[2] == ("a.example.net", "/en/x", "example.net/en/", "allow")
     assert r[3][2:] == ("org/fr/", "allow") and r[4][2:] == (None, "block") and r[5][3] == "block" and r[6][2:] == ("example.com/de/", "block") and r[7] == ("x.net", "", None, "allow")
     assert url_filters.url_filter(pages, listed.limit(0)).where("listed").count() == 0
+    assert url_filters.url_filter(pages.limit(0), listed).count() == 0
