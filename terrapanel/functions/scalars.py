@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,5 +83,45 @@ def share_matching(df: DataFrame, low: float, high: float) -> dict[str, float]:
     return {k: v or 0.0 for k, v in df.agg(*tests).head().asDict().items()}
 
 
-def all_true(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions, F.lit(True))
+def in_dates(df: DataFrame, column: str, begin: str, end: str) -> DataFrame:
+    """Rows with begin <= column < end; the bounds reach the scan."""
+    return df.where((F.col(column) >= F.lit(begin).cast("timestamp")) & (F.col(column) < F.lit(end).cast("timestamp")))
+
+
+def geodesic_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column, a: float = 6378.137, f: float = 1 / 298.257223563) -> Column:
+    """Distance on the WGS84 ellipsoid by Lambert's formula for long lines (errors of some metres)."""
+    b1, b2 = (F.atan((1 - f) * F.tan(F.radians(x))) for x in (lat1, lat2))
+    h = F.pow(F.sin((b2 - b1) / 2), 2) + F.cos(b1) * F.cos(b2) * F.pow(F.sin((F.radians(lon2) - F.radians(lon1)) / 2), 2)
+    s = 2 * F.asin(F.sqrt(F.least(h, F.lit(1.0))))
+    p, q = (b1 + b2) / 2, (b2 - b1) / 2
+    x = (s - F.sin(s)) * F.pow(F.sin(p) * F.cos(q) / F.cos(s / 2), 2)
+    y = (s + F.sin(s)) * F.pow(F.cos(p) * F.sin(q) / F.sin(s / 2), 2)
+    return F.when(s > 0, a * (s - f / 2 * (x + y))).otherwise(0.0)
+
+
+def albers(lat: Column, lon: Column, lat0: float, lon0: float, south: float, north: float, a: float = 6378137.0, f: float = 1 / 298.257222101) -> tuple[Column, Column]:
+    """Equal-area conic coordinates (x, y) in metres on an ellipsoid, by the closed form."""
+    import math
+
+    e2 = 2 * f - f * f
+    e = math.sqrt(e2)
+    q_of = lambda s: (1 - e2) * (s / (1 - e2 * s * s) - math.log((1 - e * s) / (1 + e * s)) / (2 * e))
+    m_of = lambda p: math.cos(p) / math.sqrt(1 - e2 * math.sin(p) ** 2)
+    p0, p1, p2 = (math.radians(x) for x in (lat0, south, north))
+    n = (m_of(p1) ** 2 - m_of(p2) ** 2) / (q_of(math.sin(p2)) - q_of(math.sin(p1)))
+    c = m_of(p1) ** 2 + n * q_of(math.sin(p1))
+    rho0 = a * math.sqrt(c - n * q_of(math.sin(p0))) / n
+    s = F.sin(F.radians(lat))
+    q = (1 - e2) * (s / (1 - e2 * s * s) - F.log((1 - e * s) / (1 + e * s)) / (2 * e))
+    rho, theta = a * F.sqrt(c - n * q) / n, n * F.radians(lon - lon0)
+    return rho * F.sin(theta), rho0 - rho * F.cos(theta)
+
+
+def inside(x: Column, y: Column, ring: list[tuple[float, float]]) -> Column:
+    """Whether a point lies in a simple polygon: an odd number of its edges is crossed to the right."""
+    crossed = F.lit(0)
+    for (ax, ay), (bx, by) in zip(ring, [*ring[1:], ring[0]], strict=True):
+        if ay != by:
+            over = (F.lit(ay) > y) != (F.lit(by) > y)
+            crossed = crossed + (over & (x < ax + (y - ay) * ((bx - ax) / (by - ay)))).cast("int")
+    return crossed % 2 == 1

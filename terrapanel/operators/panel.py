@@ -46,7 +46,10 @@ def cumulative_endpoint(df: DataFrame, entity: str, period: str, value: str, lag
 
 
 def group_anomaly(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    return df.withColumn("anomaly", F.col(value) - F.avg(value).over(W.partitionBy(*keys)))
+    """value minus the mean of its group, which is combined before the shuffle and joined back."""
+    means = df.groupBy(*[F.col(k).alias(f"_k{k}") for k in keys]).agg(F.avg(value).alias("_mean"))
+    same = [F.col(k).eqNullSafe(F.col(f"_k{k}")) for k in keys]
+    return df.join(means, same).select(*df.columns, (F.col(value) - F.col("_mean")).alias("anomaly"))
 
 
 def largest_step(df: DataFrame, entity: str, period: str, value: str, width: int, flag_over: float) -> DataFrame:
@@ -65,10 +68,16 @@ def largest_step(df: DataFrame, entity: str, period: str, value: str, width: int
 
 
 def impute_children(df: DataFrame, key: str, parent_of: DataFrame) -> DataFrame:
-    """Rows of parents copied under the keys of their children (child, parent), which have no rows of their own; imputed says which."""
+    """Rows of parents copied under the keys of their children (child, parent), which have no rows of their own; imputed says which.
+
+    A parent without rows is an error, raised when the rows are read.
+    """
     columns = [c for c in df.columns if c != key]
-    copied = df.join(F.broadcast(parent_of), df[key] == parent_of["parent"]).select(F.col("child").alias(key), *columns, F.lit(1).alias("imputed"))
-    own = df.join(F.broadcast(parent_of.select(F.col("child").alias(key))), key, "left_anti").withColumn("imputed", F.lit(0))
+    there = df.select(F.col(key).alias("parent")).distinct().withColumn("_there", F.lit(True))
+    pairs = parent_of.join(there, "parent", "left")
+    known = pairs.withColumn("child", F.when(F.col("_there"), F.col("child")).otherwise(F.raise_error(F.concat(F.lit("no rows of parent "), F.col("parent")))))
+    copied = known.join(df, known["parent"] == df[key], "left").select(F.col("child").alias(key), *columns, F.lit(1).alias("imputed"))
+    own = df.join(parent_of.select(F.col("child").alias(key)), key, "left_anti").withColumn("imputed", F.lit(0))
     return own.unionByName(copied)
 
 
@@ -101,3 +110,38 @@ def pivot_names(df: DataFrame, keys: list[str], name: str, value: str, names: li
 
 def first_by(df: DataFrame, keys: list[str], ordering: list[Column | str]) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*ordering))).where("_n = 1").drop("_n")
+
+
+def pivot_unique(df: DataFrame, keys: list[str], name: str, value: str, names: list) -> DataFrame:
+    """Names as columns, where a key and name that come twice are an error."""
+    one = F.when(F.count(F.lit(1)) <= 1, F.first(value)).otherwise(F.raise_error(F.lit("repeated key in a pivot")).cast("double"))
+    return df.groupBy(*keys).pivot(name, names).agg(one)
+
+
+def pivot_sum(df: DataFrame, keys: list[str], name: str, value: str, names: list) -> DataFrame:
+    """Names as columns with sums; zero where there are no rows."""
+    return df.groupBy(*keys).pivot(name, names).agg(F.sum(value)).na.fill(0, [str(n) for n in names])
+
+
+def unpivot_bands(df: DataFrame, keys: list[str], pattern: str = r"^(.*)_(\d{4})$") -> DataFrame:
+    """Columns named variable_year as rows (keys, variable, period, value)."""
+    import re
+
+    found = {c: re.match(pattern, c) for c in df.columns if c not in keys}
+    long = df.unpivot(keys, [c for c, m in found.items() if m], "_name", "value")
+    return long.select(*keys, F.regexp_extract("_name", pattern, 1).alias("variable"), F.regexp_extract("_name", pattern, 2).cast("int").alias("period"), "value")
+
+
+def keep_existing(df: DataFrame, order: list[str]) -> DataFrame:
+    """The columns of order that the table has, in that order."""
+    return df.select(*[c for c in order if c in df.columns])
+
+
+def drop_prefixed(df: DataFrame, prefix: str) -> DataFrame:
+    return df.drop(*[c for c in df.columns if c.startswith(prefix)])
+
+
+def lagged_join(df: DataFrame, other: DataFrame, keys: list[str], period: str, lag: int = 1) -> DataFrame:
+    """df left-joined with other's columns of `lag` periods earlier."""
+    names = {c: f"{c}_lag{lag}" for c in other.columns if c not in [*keys, period]}
+    return df.join(other.withColumn(period, (F.col(period) + lag).cast(dict(df.dtypes)[period])).withColumnsRenamed(names), [*keys, period], "left")

@@ -9,20 +9,25 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def is_balanced(df: DataFrame, entity: str, group: str, period: str) -> bool:
-    """Whether every group has each of its entities once in each of its periods."""
+def unbalanced_groups(df: DataFrame, entity: str, group: str, period: str) -> DataFrame:
+    """The groups that lack one of their entities in one of their periods, or have it twice."""
     n = df.groupBy(group).agg(F.count("*").alias("n"), F.count_distinct(entity).alias("e"), F.count_distinct(period).alias("p"))
-    return n.where("n <> e * p").isEmpty()
+    return n.where("n <> e * p").select(group)
 
 
 def residuals_balanced(df: DataFrame, entity: str, group: str, period: str, columns: list[str]) -> DataFrame:
-    """Closed form for entities nested in groups, balanced inside each: x - entity mean - (group, period) mean + group mean."""
-    e, t, g = W.partitionBy(group, entity), W.partitionBy(group, period), W.partitionBy(group)
-    return df.withColumns({f"{c}_res": F.col(c) - F.avg(c).over(e) - F.avg(c).over(t) + F.avg(c).over(g) for c in columns})
+    """Closed form for entities nested in groups, balanced inside each: x - entity mean - (group, period) mean + group mean.
+
+    Means are combined before they are shuffled, and joined back: no task sorts a group.
+    """
+    out = df
+    for keys, name in (([group, entity], "_e"), ([group, period], "_t"), ([group], "_g")):
+        means = df.groupBy(*keys).agg(*[F.avg(c).alias(f"{name}{c}") for c in columns])
+        out = out.join(means, keys)
+    return out.select(*df.columns, *[(F.col(c) - F.col(f"_e{c}") - F.col(f"_t{c}") + F.col(f"_g{c}")).alias(f"{c}_res") for c in columns])
 
 
 def residuals_iterated(df: DataFrame, entity: str, group: str, period: str, columns: list[str], rounds: int | None = None, tolerance: float = 1e-10) -> DataFrame:
@@ -52,9 +57,13 @@ def residuals_iterated(df: DataFrame, entity: str, group: str, period: str, colu
 
 
 def residuals(df: DataFrame, entity: str, group: str, period: str, columns: list[str]) -> DataFrame:
+    """By group the closed form where it is balanced, else the iteration."""
     df = df.na.drop(subset=columns)
-    f = residuals_balanced if is_balanced(df, entity, group, period) else residuals_iterated
-    return f(df, entity, group, period, columns)
+    holes = unbalanced_groups(df, entity, group, period)
+    if holes.isEmpty():
+        return residuals_balanced(df, entity, group, period, columns)
+    whole = residuals_balanced(df.join(holes, group, "left_anti").select(*df.columns), entity, group, period, columns)
+    return whole.unionByName(residuals_iterated(df.join(holes, group, "left_semi").select(*df.columns), entity, group, period, columns))
 
 
 def ols(df: DataFrame, y: str, xs: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
@@ -76,26 +85,43 @@ def _outer(df: DataFrame, us: list[str], vs: list[str]) -> np.ndarray:
     return np.array([[row[f"{i}_{j}"] or 0.0 for j in range(len(vs))] for i in range(len(us))], float)
 
 
+def entity_sums(u: DataFrame, entity: str, xs: list[str]) -> tuple[np.ndarray, int]:
+    """Sum over entities of the outer products of their summed scores, and the entities, from one pass."""
+    names = [f"u_{x}" for x in xs]
+    sums = u.groupBy(entity).agg(*[F.sum(n).alias(n) for n in names])
+    row = sums.agg(F.count("*").alias("g"), *[F.sum(F.col(a) * F.col(b)).alias(f"{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names)]).head()
+    return np.array([[row[f"{i}_{j}"] or 0.0 for j in range(len(xs))] for i in range(len(xs))], float), row["g"]
+
+
 def cluster_covariance(u: DataFrame, entity: str, xs: list[str], inverse: np.ndarray) -> np.ndarray:
     """Sandwich with scores summed by entity, times G / (G - 1)."""
-    sums = u.groupBy(entity).agg(*[F.sum(f"u_{x}").alias(f"u_{x}") for x in xs])
-    g = sums.count()
-    names = [f"u_{x}" for x in xs]
-    return inverse @ _outer(sums, names, names) @ inverse * (g / (g - 1) if g > 1 else np.nan)
+    meat, g = entity_sums(u, entity, xs)
+    return inverse @ meat @ inverse * (g / (g - 1) if g > 1 else np.nan)
 
 
-def conley_covariance(u: DataFrame, pairs: DataFrame, entity: str, period: str, xs: list[str], inverse: np.ndarray) -> np.ndarray:
+def conley_covariance(u: DataFrame, pairs: DataFrame, entity: str, period: str, xs: list[str], inverse: np.ndarray, by_entity: np.ndarray | None = None) -> np.ndarray:
     """Sandwich of scores of one period weighted by distance (pairs i, j, w; own weight 1), plus an entity's scores of different periods."""
     names = [f"u_{x}" for x in xs]
     left = u.select(F.col(entity).alias("i"), period, *names)
     right = u.select(F.col(entity).alias("j"), period, *[F.col(n).alias(f"r_{n}") for n in names])
     both = pairs.where("i <> j").join(left, "i").join(right, ["j", period]).withColumns({n: F.col(n) * F.col("w") for n in names})
-    own = _outer(u, names, names)
-    sums = u.groupBy(entity).agg(*[F.sum(n).alias(n) for n in names])
-    meat = own + _outer(both, names, [f"r_{n}" for n in names]) + _outer(sums, names, names) - own
+    # an entity's own scores of one period are in its sums, too: they cancel
+    meat = _outer(both, names, [f"r_{n}" for n in names]) + (entity_sums(u, entity, xs)[0] if by_entity is None else by_entity)
     return inverse @ meat @ inverse
 
 
+def lag_summary(curve: DataFrame, keys: list[str], lag, cumulative: str) -> DataFrame:
+    """By keys, of cumulative responses b_k over lags: mean lag sum k (b_k - b_k-1) / sum (null if they add up to nothing), whether the response never falls, the lag of its greatest size (the first at ties)."""
+    b = F.array_sort(F.collect_list(F.struct(lag.alias("k"), F.col(cumulative).alias("b"))))
+    rows = curve.groupBy(*keys).agg(b.alias("_b"), F.max_by(lag, F.struct(F.abs(cumulative), -lag)).alias("peak"))
+    steps = F.transform("_b", lambda x, i: F.struct(x["k"].alias("k"), (x["b"] - F.when(i > 0, F.element_at("_b", F.greatest(i, F.lit(1)))["b"]).otherwise(0.0)).alias("d")))
+    total = lambda f: F.aggregate("_d", F.lit(0.0), lambda s, x: s + f(x))
+    rows = rows.withColumn("_d", steps).withColumn("_s", total(lambda x: x["d"]))
+    mean = F.when(F.abs("_s") > 1e-12, total(lambda x: x["k"] * x["d"]) / F.col("_s"))
+    rising = F.forall(F.slice("_d", F.lit(2), F.greatest(F.size("_d") - 1, F.lit(0))), lambda x: x["d"] >= 0)
+    return rows.select(*keys, mean.alias("mean_lag"), rising.alias("monotone"), F.when(rising, mean).alias("mean_lag_if_monotone"), "peak")
+
+
 def mean_lag(cumulative: list[float]) -> float | None:
     """Mean lag of a cumulative response: sum k b_k / sum b_k over its increments; None if they add up to nothing."""
     b = np.diff(np.array([0.0, *cumulative]))
@@ -104,21 +130,38 @@ def mean_lag(cumulative: list[float]) -> float | None:
 
 @dataclass(frozen=True)
 class Spec:
+    """A model: its outcome, regressors, sample, years (both included) and the group whose periods are effects (None: the caller's)."""
+
     name: str
     y: str
     xs: tuple[str, ...]
     where: str = "true"
+    years: tuple[int, int] | None = None
+    group: str | None = None
 
 
 def run_specs(df: DataFrame, specs: list[Spec], entity: str, group: str, period: str, pairs: DataFrame | None = None) -> DataFrame:
-    """A row for each specification and regressor: model, y, variable, coef, se_cluster, se_conley (null without pairs or if negative), n_obs, n_entities."""
+    """A row for each specification and regressor: model, y, variable, coef, se_cluster, t, se_conley (null without pairs or if negative), n_obs, n_entities.
+
+    A specification that names a column which the table lacks is left out.
+    """
     rows = []
     for s in specs:
-        d = residuals(df.where(s.where), entity, group, period, [s.y, *s.xs])
-        d = d.select(entity, period, *[F.col(f"{c}_res").alias(c) for c in (s.y, *s.xs)])
-        beta, inverse, n = ols(d, s.y, list(s.xs))
-        u = scores(d, s.y, list(s.xs), beta)
-        diag = [np.diag(cluster_covariance(u, entity, list(s.xs), inverse)), np.diag(conley_covariance(u, pairs, entity, period, list(s.xs), inverse)) if pairs is not None else np.full(len(s.xs), np.nan)]
-        g = d.select(entity).distinct().count()
-        rows += [(s.name, s.y, x, float(b), *(float(np.sqrt(v[k])) if v[k] >= 0 else None for v in diag), n, g) for k, (x, b) in enumerate(zip(s.xs, beta, strict=True))]
-    return df.sparkSession.createDataFrame(rows, "model string, y string, variable string, coef double, se_cluster double, se_conley double, n_obs long, n_entities long")
+        xs = list(s.xs)
+        if not {s.y, *xs} <= set(df.columns):
+            continue
+        sample = df.where(s.where).where(F.col(period).between(*s.years)) if s.years else df.where(s.where)
+        d = residuals(sample, entity, s.group or group, period, [s.y, *xs])
+        d = d.select(entity, period, *[F.col(f"{c}_res").alias(c) for c in (s.y, *xs)]).persist()  # read by each aggregate below
+        try:
+            beta, inverse, n = ols(d, s.y, xs)
+            u = scores(d, s.y, xs, beta)
+            meat, g = entity_sums(u, entity, xs)
+            cluster = np.diag(inverse @ meat @ inverse * (g / (g - 1) if g > 1 else np.nan))
+            conley = np.diag(conley_covariance(u, pairs, entity, period, xs, inverse, meat)) if pairs is not None else np.full(len(xs), np.nan)
+        finally:
+            d.unpersist()
+        for k, x in enumerate(xs):
+            se, sc = (float(np.sqrt(v[k])) if v[k] >= 0 else None for v in (cluster, conley))
+            rows.append((s.name, s.y, x, float(beta[k]), se, float(beta[k]) / se if se and se > 1e-9 else None, sc, n, g))
+    return df.sparkSession.createDataFrame(rows, "model string, y string, variable string, coef double, se_cluster double, t double, se_conley double, n_obs long, n_entities long")

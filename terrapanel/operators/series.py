@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 def annual_indicators(daily: DataFrame, entity: str, year: str, quarter: str, value: str, reference: tuple[int, int], limit: float) -> DataFrame:
     """Mean, quarter means, greatest value, exact p95, days over the entity's own reference p90 (strictly) and at or over a limit."""
     bar = daily.where(F.col(year).between(*reference)).groupBy(entity).agg(F.percentile(value, 0.9).alias("_p90"))
-    joined = daily.join(bar, entity, "left")
+    joined = daily.join(bar, entity)  # entities without reference years have no threshold and no rows
     v = F.col(value)
     quarters = [F.avg(F.when(F.col(quarter) == q, v)).alias(f"mean_q{q}") for q in (1, 2, 3, 4)]
     return joined.groupBy(entity, year).agg(
@@ -68,3 +68,27 @@ def describe(df: DataFrame, value: str) -> DataFrame:
 
 def repeated_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("copies")).where("copies > 1")
+
+
+def paired(series: DataFrame, keys: list[str], name: str, value: str, left: str, right: str) -> DataFrame:
+    """Two named series side by side, on keys where both are known."""
+    one = lambda n: series.where(F.col(name) == n).select(*keys, F.col(value).alias(n))
+    return one(left).join(one(right), keys)
+
+
+def two_sided_indicators(days: DataFrame, entity: str, high: str, low: str, reference: tuple[int, int], warm_day: float, warm_night: float) -> DataFrame:
+    """Thirteen indicators a year of days (entity, year, quarter, high, low), thresholds by entity from its reference years."""
+    bar = days.where(F.col("year").between(*reference)).groupBy(entity).agg(F.percentile(high, 0.9).alias("_h"), F.percentile(low, 0.9).alias("_l"))
+    mean = (F.col(high) + F.col(low)) / 2
+    quarters = [F.avg(F.when(F.col("quarter") == q, mean)).alias(f"mean_q{q}") for q in (1, 2, 3, 4)]
+    return days.join(bar, entity).groupBy(entity, "year").agg(
+        F.count("*").alias("n_days"), F.avg(mean).alias("mean"), F.avg(F.col(high) - F.col(low)).alias("amplitude"), *quarters, F.max(high).alias("highest"), F.min(low).alias("lowest"), F.percentile(high, 0.95).alias("p95"),
+        F.count_if(F.col(high) > F.col("_h")).alias("hot_days"), F.count_if(F.col(low) > F.col("_l")).alias("hot_nights"),
+        F.count_if(F.col(high) >= warm_day).alias("days_over_limit"), F.count_if(F.col(low) >= warm_night).alias("nights_over_limit"))
+
+
+def gap_filled(df: DataFrame, keys: list[str], season: str, value: str) -> DataFrame:
+    """filled: the value, or where it is missing the mean of its season over all years; was_filled says which."""
+    normal = df.groupBy(*keys, season).agg(F.avg(value).alias("_normal"))
+    out = df.join(normal, [*keys, season])
+    return out.withColumn("filled", F.coalesce(value, "_normal")).withColumn("was_filled", F.col(value).isNull().cast("int")).drop("_normal")

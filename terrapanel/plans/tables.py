@@ -18,7 +18,7 @@ def panel(spark: SparkSession, d: str) -> DataFrame:
     """e, g, t, y, x, z by supplier and ship year."""
     li = read_table(spark, d, "lineitem", ["l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity", "l_discount"])
     by = li.groupBy(F.col("l_suppkey").alias("e"), F.year("l_shipdate").alias("t")).agg(F.round(F.sum("l_extendedprice") / 1000, 3).alias("y"), F.sum("l_quantity").alias("x"), F.round(F.sum("l_discount") * 100).alias("z"))
-    return by.join(F.broadcast(suppliers(spark, d).select("e", "g")), "e").select("e", "g", "t", "y", "x", "z")
+    return by.join(suppliers(spark, d).select("e", "g"), "e").select("e", "g", "t", "y", "x", "z")
 
 
 PANEL_SQL = """
@@ -42,7 +42,7 @@ MONTHLY_SQL = "m AS (SELECT CAST(c_nationkey AS INTEGER) AS nation, CAST(year(o_
 def daily(spark: SparkSession, d: str) -> DataFrame:
     """g, yr, q, day, v: mean quantity shipped by region and day."""
     li = read_table(spark, d, "lineitem", ["l_suppkey", "l_shipdate", "l_quantity"])
-    j = li.join(F.broadcast(suppliers(spark, d)), li["l_suppkey"] == F.col("e"))
+    j = li.join(suppliers(spark, d), li["l_suppkey"] == F.col("e"))
     day = F.to_date("l_shipdate")
     return j.groupBy("g", day.alias("day")).agg(F.avg("l_quantity").alias("v")).select("g", F.year("day").alias("yr"), F.quarter("day").alias("q"), "day", "v")
 
@@ -54,6 +54,20 @@ d AS (SELECT g, CAST(year(day) AS INTEGER) AS yr, CAST(quarter(day) AS INTEGER)
 """
 
 
+def two_daily(spark: SparkSession, d: str) -> DataFrame:
+    """Named daily series (g, day, name, v): hi and lo of quantities, rain and vapour and deficit of discounts and taxes; lo lacks some days."""
+    li = read_table(spark, d, "lineitem", ["l_suppkey", "l_shipdate", "l_quantity", "l_discount", "l_tax", "l_linenumber"])
+    j = li.join(suppliers(spark, d), li["l_suppkey"] == F.col("e")).withColumn("day", F.to_date("l_shipdate"))
+    by = j.groupBy("g", "day").agg(F.max("l_quantity").alias("hi"), F.min(F.when(F.col("l_linenumber") <= 2, F.col("l_quantity"))).alias("lo"), F.round(F.sum("l_discount") * 10, 2).alias("rain"), F.round(F.sum("l_tax"), 2).alias("vapour"), F.round(F.sum("l_discount"), 2).alias("deficit"))
+    return by.unpivot(["g", "day"], ["hi", "lo", "rain", "vapour", "deficit"], "name", "v").where("v is not null")
+
+
+TWO_DAILY_SQL = """
+s AS (SELECT s_suppkey AS e, CAST(n_regionkey AS INTEGER) AS g FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+w AS (SELECT g, CAST(l_shipdate AS DATE) AS day, max(l_quantity) AS hi, min(l_quantity) FILTER (WHERE l_linenumber <= 2) AS lo, round(sum(l_discount) * 10, 2) AS rain, round(sum(l_tax), 2) AS vapour, round(sum(l_discount), 2) AS deficit FROM lineitem JOIN s ON l_suppkey = e GROUP BY 1, 2)
+"""
+
+
 def points(spark: SparkSession, d: str) -> DataFrame:
     """id, x, y: a supplier's place, from the first two components of the vector of its number."""
     v = read_table(spark, d, "embeddings", ["vec_id", "embedding"]).select(F.col("vec_id").alias("id"), F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, FloatType, StructType
+from pyspark.sql.types import DoubleType, FloatType, StringType, StructField, StructType
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:
@@ -54,3 +54,35 @@ def write_version(df: DataFrame, path: str, version: int) -> str:
     target = f"{path}/v{version:06d}"
     df.write.mode("errorifexists").parquet(target)
     return target
+
+
+def scaled(df: DataFrame, columns: list[str], scale: float) -> DataFrame:
+    """Whole numbers as stored, decoded to shares."""
+    return df.withColumns({c: F.col(c) / scale for c in columns})
+
+
+def schema_of(df: DataFrame) -> DataFrame:
+    """A row for each column: its name, type and place."""
+    return df.sparkSession.createDataFrame([(n, t, i) for i, (n, t) in enumerate(df.dtypes)], "column_name string, column_type string, place int")
+
+
+def read_csv_files(spark: SparkSession, paths: list[str], schema: StructType) -> DataFrame:
+    """CSV files whose headers and separators may differ: each file's columns by name and typed by schema, absent ones null."""
+    parts = []
+    for path in paths:
+        line = (spark.read.text(path).first() or [""])[0].lstrip("\ufeff")
+        sep = ";" if line.count(";") > line.count(",") else ","
+        names = [n.strip().strip('"') for n in line.split(sep)]
+        own = StructType([schema[n] if n in schema.names else StructField(n, StringType()) for n in names])
+        parts.append(read_csv(spark, path, own).select(*[n for n in names if n in schema.names]))
+    found = union_all(parts)
+    return found.select(*[F.col(f.name) if f.name in found.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
+def write_once(df: DataFrame, path: str) -> bool:
+    """Parquet at path, unless a finished table is there already: a lot that was written before isn't computed again."""
+    p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).exists(p):
+        return False
+    df.write.mode("overwrite").parquet(path)
+    return True

@@ -1,6 +1,7 @@
 """Properties and edge cases of the panel operators, on hand-made tables."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from terrapanel.functions import scalars as S
@@ -111,3 +112,70 @@ def test_lags_share_one_sort(spark):
     d = spark.createDataFrame([(1, 1, 1.0)], "e int, t int, x double")
     plan = P.lags_leads(d, "e", "t", "x", 10, 3)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Sort [") == 1
+
+
+def test_entities_without_reference_years_have_no_indicators(spark):
+    d = spark.createDataFrame([(1, 1995, 1, 2.0), (1, 1999, 1, 9.0), (2, 1999, 1, 9.0)], "e int, yr int, q int, v double")
+    assert {r.e for r in I.annual_indicators(d, "e", "yr", "q", "v", (1995, 1996), 5.0).collect()} == {1}
+
+
+def test_missing_parent_is_an_error(spark):
+    d = spark.createDataFrame([(1, 1, 2.0)], "e long, t int, y double")
+    good, bad = (spark.createDataFrame([p], "child long, parent long") for p in ((7, 1), (7, 8)))
+    assert [tuple(r) for r in P.impute_children(d, "e", good).orderBy("e").collect()] == [(1, 1, 2.0, 0), (7, 1, 2.0, 1)]
+    with pytest.raises(Exception, match="no rows of parent 8"):
+        P.impute_children(d, "e", bad).collect()
+
+
+def test_repeated_key_in_a_pivot_is_an_error(spark):
+    d = spark.createDataFrame([(1, 1, 2.0), (1, 2, 3.0)], "e long, t int, y double")
+    assert tuple(P.pivot_unique(d, ["e"], "t", "y", [1, 2, 3]).head()) == (1, 2.0, 3.0, None)
+    with pytest.raises(Exception, match="repeated key in a pivot"):
+        P.pivot_unique(d.union(d), ["e"], "t", "y", [1, 2]).collect()
+
+
+def test_only_unbalanced_groups_are_iterated(spark):
+    full, holes = _panel(spark, False).where("g = 0"), _panel(spark, True).where("g = 1")
+    both = {(r.e, r.t): r.y_res for r in R.residuals(full.union(holes), "e", "g", "t", ["y"]).collect()}
+    apart = {(r.e, r.t): r.y_res for x in (full, holes) for r in R.residuals(x, "e", "g", "t", ["y"]).collect()}
+    assert both.keys() == apart.keys() and max(abs(both[k] - apart[k]) for k in both) < 1e-6
+
+
+def test_lag_summary(spark):
+    d = spark.createDataFrame([("up", 0, 1.0), ("up", 1, 2.0), ("up", 2, 2.0), ("back", 0, 1.0), ("back", 1, -3.0), ("none", 0, 1.0), ("none", 1, 0.0)], "m string, k int, b double")
+    got = {r.m: tuple(r)[1:] for r in R.lag_summary(d, ["m"], F.col("k"), "b").collect()}
+    assert got["up"] == (0.5, True, 0.5, 1) and got["back"][1:] == (False, None, 1) and got["none"] == (None, False, None, 0)
+    assert R.mean_lag([1.0, 2.0, 2.0]) == 0.5
+
+
+def test_csv_files_with_other_headers(spark, tmp_path):
+    from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
+
+    (tmp_path / "a.csv").write_text("k,v\n01,1.5\n")
+    (tmp_path / "b.csv").write_text("v;s;other\n2.5;x;9\n")
+    schema = StructType([StructField("k", StringType()), StructField("v", DoubleType()), StructField("s", StringType()), StructField("gone", LongType())])
+    got = io.read_csv_files(spark, [f"file://{tmp_path}/{n}.csv" for n in "ab"], schema)
+    assert [tuple(r) for r in got.orderBy("v").collect()] == [("01", 1.5, None, None), (None, 2.5, "x", None)]
+
+
+def test_lots_are_written_once_and_versions_never_over(spark, tmp_path):
+    d = spark.createDataFrame([(1, 2.0)], "k int, v double")
+    path = f"file://{tmp_path}/lot"
+    assert io.write_once(d, path) and not io.write_once(d.limit(0), path) and spark.read.parquet(path).count() == 1
+    first = io.write_version(d, f"file://{tmp_path}/t", 1)
+    assert spark.read.parquet(io.write_version(spark.read.parquet(first), f"file://{tmp_path}/t", 2)).count() == 1
+
+
+def test_discovery_by_name_and_content(spark):
+    d = spark.createDataFrame([("1100015", 1.0, "x"), ("1100023", None, "5")], "Cod_IBGE string, area double, note string")
+    assert S.find_column(d, ["codigo", "cod_"]) == "Cod_IBGE" and S.find_column(d, ["year"]) is None
+    assert S.share_matching(d, 1e6, 9_999_999) == {"Cod_IBGE": 1.0, "area": 0.0, "note": 0.0}
+    assert d.select(S.relative_humidity(F.lit(1.0), F.lit(3.0))).head()[0] == 25.0
+
+
+def test_geodesic_and_projection(spark):
+    d = spark.createDataFrame([(0.0, 0.0, 0.0, 1.0), (-10.0, -50.0, -20.0, -40.0), (1.0, 2.0, 1.0, 2.0)], "a double, b double, c double, d double")
+    km = [r[0] for r in d.select(S.geodesic_km(F.col("a"), F.col("b"), F.col("c"), F.col("d"))).collect()]
+    assert abs(km[0] - 111.3195) < 0.02 and abs(km[1] - 1542) < 5 and km[2] == 0.0
+    east, north = S.albers(F.lit(-12.0), F.lit(-54.0), -12.0, -54.0, -2.0, -22.0)
+    assert max(abs(x) for x in d.select(east, north).head()) < 1e-6
