@@ -401,7 +401,7 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, carry: tuple[str, ...] | N
     if clash := set(carry or ()) & {"doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"}:
         raise ValueError(f"the result has columns of its own named {sorted(clash)}")
     # what is carried goes in one column, so that its names meet none of those here
-    rows = docs.select(ids.alias("doc_id"), text.alias("text"), F.sha2(text, 256).alias("same"), F.struct(F.lit(0).alias("_"), *[F.col(c) for c in carry or ()]).alias("carried"))
+    rows = docs.select(ids.alias("doc_id"), text.alias("text"), F.unhex(F.sha2(text, 256)).alias("same"), F.struct(F.lit(0).alias("_"), *[F.col(c) for c in carry or ()]).alias("carried"))
     size = docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     buckets, blocks = max(shuffle_partitions(spark) * BUCKETS, -(-size // BUCKET_BYTES)), max(1, -(-size // BLOCK_BYTES))
     groups = rows.groupBy("same").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("c")).where("c > 1")
@@ -418,11 +418,11 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, carry: tuple[str, ...] | N
         one = repeated.select("doc_id", "same", "text", "first").dropDuplicates(["doc_id", "same"]).join(repeated.limit(0).select("carried"), F.lit(False), "left")
         originals = originals.join(broadcast_if_small(twins, n_twins, 500_000), ["doc_id", "same"], "left_anti").unionByName(one.select(*originals.columns))
     originals = originals.withColumn("block", F.pmod(F.xxhash64("doc_id", "same"), F.lit(blocks)).cast("int")).select("doc_id", "text", "block", F.struct("same", F.col("carried").alias("own")).alias("carried"))
-    bare = originals.select("doc_id", "text", "block")
 
-    found = bare.groupBy("block").applyInArrow(_anchor_rows(span, buckets), "bucket int, block int, payload binary")
+    # the same columns each time, so that one shuffle serves all three steps
+    found = originals.groupBy("block").applyInArrow(_anchor_rows(span, buckets), "bucket int, block int, payload binary")
     hints = found.groupBy("bucket").applyInArrow(_shared_anchors, "block int, payload binary")
-    entries = bare.groupBy("block").cogroup(hints.groupBy("block")).applyInArrow(_surroundings(span, buckets), "bucket int, block int, payload binary")
+    entries = originals.groupBy("block").cogroup(hints.groupBy("block")).applyInArrow(_surroundings(span, buckets), "bucket int, block int, payload binary")
     marks = entries.groupBy("bucket").applyInArrow(_marks(span), "block int, payload binary")
     carried = originals.schema["carried"].dataType.simpleString()
     schema = f"{_RESULT}{', kept string' * with_text}, carried {carried}"
