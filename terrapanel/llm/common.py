@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 1 << 20
 #: Bytes of an Arrow batch: the JVM and a Python worker both hold each batch, outside the heap.
 BATCH_BYTES = 8 << 20
+#: Rows of a table that lookup broadcasts whole.
+SMALL = 200_000
 #: Odd multiplier of the polynomial hashes (mod 2**64).
 BASE = 0x9E3779B97F4A7C15
 _INV = pow(BASE, -1, 1 << 64)
@@ -113,13 +115,13 @@ def broadcast_if_small(df: DataFrame, rows: int, limit: int = 2_000_000) -> Data
 def lookup(rows: DataFrame, table: DataFrame, key: str, often: DataFrame | None = None) -> DataFrame:
     """rows left-joined with table, whose keys are unique, by the column key; no key's rows all go to one task.
 
-    A table of at most 200,000 rows is broadcast. Else keys that hold over one
+    A table of at most SMALL rows is broadcast. Else keys that hold over one
     in 8 x shuffle partitions of all rows (so at most as many keys; often, if it
     is known) meet their entries by a broadcast, other keys by a shuffle, and
     rows without a key meet nothing.
     """
     spark = rows.sparkSession
-    if table.limit(200_001).count() <= 200_000:
+    if table.limit(SMALL + 1).count() <= SMALL:
         return rows.join(F.broadcast(table), key, "left")
     if often is None:
         by = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_c"))
@@ -172,7 +174,7 @@ def split_rows(buf: np.ndarray, offsets: np.ndarray, limit: int = CHUNK_BYTES, s
             if len(near):
                 at = begin = at + int(near[-1]) + 1
             elif step:
-                at = begin + (at + limit - begin) // step * step
+                at = begin + max((at + limit - begin) // step, (at - begin) // step + 1) * step
             else:
                 x = at + limit
                 while x < end and not SPACE[buf[x]]:
