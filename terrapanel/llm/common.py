@@ -159,8 +159,8 @@ def row_chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES):
 def split_rows(buf: np.ndarray, offsets: np.ndarray, limit: int = CHUNK_BYTES, step: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(offsets, row) with rows of more than limit bytes cut after ASCII white space, about limit bytes each.
 
-    A longer run without white space stays whole; with step it is cut, too, at
-    multiples of step bytes from its first byte.
+    A longer run without white space stays whole; with step it is cut, too, after
+    some parts of step bytes, each ended before a character that it would cut.
     """
     long = np.flatnonzero(np.diff(offsets) > limit)
     if not len(long):
@@ -168,19 +168,22 @@ def split_rows(buf: np.ndarray, offsets: np.ndarray, limit: int = CHUNK_BYTES, s
     cuts = [offsets]
     for r in long.tolist():
         at, end, found = int(offsets[r]), int(offsets[r + 1]), []
-        begin = at  # of the word that at lies in
         while end - at > limit:
             near = np.flatnonzero(SPACE[buf[at : at + limit]])
             if len(near):
-                at = begin = at + int(near[-1]) + 1
+                at += int(near[-1]) + 1
             elif step:
-                at = begin + max((at + limit - begin) // step, (at - begin) // step + 1) * step
+                first = at
+                while at < end and (at == first or at + step <= first + limit):
+                    at = min(at + step, end)
+                    while at < end and buf[at] & 0xC0 == 0x80:
+                        at -= 1
             else:
                 x = at + limit
                 while x < end and not SPACE[buf[x]]:
                     part = np.flatnonzero(SPACE[buf[x : min(x + limit, end)]])
                     x = x + int(part[0]) if len(part) else min(x + limit, end)
-                at = begin = x
+                at = x
             if at < end:
                 found.append(at)
         cuts.append(np.array(found, np.int64))

@@ -1,14 +1,16 @@
 """Language identification by segmentation-marginalised unigrams.
 
-Each language has a probability for each piece of a fixed public vocabulary (its
-pieces of up to MAX_PIECE bytes, and every single byte). A word's probability is
+Each language has a probability for each piece of a fixed public vocabulary
+(pieces of every length, and every single byte). A word's probability is
 the sum over all ways to cut it into pieces, by the forward algorithm; a text's
 is the product over its words. Pieces' probabilities are fitted by expectation
 maximisation (forward and backward sums) on a bounded sample of labelled rows.
 Distinct words of a batch are computed once, all of a length at a time.
 
 A word is a run of bytes other than ASCII white space, A-Z lower-cased, with a
-blank put before it; words longer than MAX_WORD bytes are cut there.
+blank put before it; a longer one than MAX_WORD - 1 bytes is read in parts of so
+many, each ended before a character that it would cut. Sums are kept in units of
+SCALE to the power of the bytes read, within a double's range for such words.
 
 Defined cases: a text that is null or has no letter is "und" with score 0; so is
 every text when nothing labelled can be learned from. The score is the best
@@ -32,7 +34,9 @@ from pyspark.sql.types import StructType
 from .common import LOWER, bounded_batches, mix64, powers, row_chunks, split_rows, text_buffer, tidy, words
 
 VOCABULARY = "piece_bpe_32k.model"
-MAX_PIECE, MAX_WORD = 8, 32
+MAX_WORD, SCALE = 48, 4096.0
+#: Numbers that one forward pass may hold (words by positions by languages or pieces).
+PASS_NUMBERS = 1 << 22
 #: At most so many labelled rows of a language are learned from (those of smallest hash, of at most SAMPLE_BYTES each), in so many rounds.
 SAMPLE, SAMPLE_BYTES, ROUNDS = 300, 1 << 17, 3
 #: At most so many languages are learned, those of most labelled rows.
@@ -51,7 +55,7 @@ def read_pieces() -> list[bytes]:
     for i in range(sp.get_piece_size()):
         if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)):
             piece = bytes(LOWER[np.frombuffer(sp.id_to_piece(i).replace("▁", " ").encode(), np.uint8)])
-            if len(piece) <= MAX_PIECE and b" " not in piece[1:]:
+            if b" " not in piece[1:]:
                 found.add(piece)
     return sorted(found)
 
@@ -60,9 +64,11 @@ class PieceTable:
     """Finds pieces by the hash of their bytes."""
 
     def __init__(self, pieces: list[bytes]) -> None:
-        p, _ = powers(MAX_WORD + MAX_PIECE + 2)
+        self.longest = max(map(len, pieces))
+        self.sizes = np.array([len(x) for x in pieces])
+        p, _ = powers(self.longest + 1)
         keys = np.array([sum((b + 1) * int(p[i]) for i, b in enumerate(x)) % (1 << 64) for x in pieces], np.uint64)
-        self.keys = mix64(keys + np.array([len(x) for x in pieces], np.uint64))
+        self.keys = mix64(keys + self.sizes.astype(np.uint64))
         self.order = np.argsort(self.keys)
         self.sorted = self.keys[self.order]
         # most substrings are no piece: a table of the hashes' top bits answers those
@@ -79,37 +85,54 @@ class PieceTable:
         return out
 
 
-def word_pieces(table: PieceTable, chars: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
-    """Of words of one length (rows of bytes): (start, end, piece or -1 by word) for all short substrings."""
+def word_pieces(table: PieceTable, chars: np.ndarray) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Of words of one length (rows of bytes): (start, end, words that have a piece there, the pieces) by end, then start."""
     n = chars.shape[1]
-    p, q = powers(MAX_WORD + MAX_PIECE + 2)
+    p, q = powers(n + 1)
     total = np.zeros((chars.shape[0], n + 1), np.uint64)
     np.cumsum((chars.astype(np.uint64) + np.uint64(1)) * p[:n], axis=1, out=total[:, 1:])
-    return [(a, b, table.find(mix64((total[:, b] - total[:, a]) * q[a] + np.uint64(b - a)))) for b in range(1, n + 1) for a in range(max(0, b - MAX_PIECE), b)]
+    out = []
+    for b in range(1, n + 1):
+        for a in range(max(0, b - table.longest), b):
+            idx = table.find(mix64((total[:, b] - total[:, a]) * q[a] + np.uint64(b - a)))
+            has = np.flatnonzero(idx >= 0)
+            if len(has):
+                out.append((a, b, has, idx[has]))
+    return out
 
 
 def forward(probs: np.ndarray, pieces: list, n: int, rows: int) -> np.ndarray:
-    """Sums over the segmentations of each prefix: (n + 1, words, languages). probs' last row is zero, for no piece."""
+    """Sums over the segmentations of each prefix: (n + 1, words, languages)."""
     alpha = np.zeros((n + 1, rows, probs.shape[1]))
     alpha[0] = 1
-    for a, b, idx in pieces:
-        has = np.flatnonzero(idx >= 0)
-        if len(has):
-            alpha[b][has] += alpha[a][has] * probs[idx[has]]
+    for a, b, has, idx in pieces:
+        alpha[b][has] += alpha[a][has] * probs[idx]
     return alpha
 
 
+def next_cut(buf: np.ndarray, at: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """Where the parts of words that begin at those places end: before whole at a character's first byte."""
+    cut = np.minimum(at + MAX_WORD - 1, whole)
+    for _ in range(3):  # UTF-8 has at most three bytes after a character's first
+        inside = cut < whole
+        inside[inside] = (buf[cut[inside]] & 0xC0) == 0x80
+        cut = cut - inside
+    return cut
+
+
 def distinct_words(buf: np.ndarray, offsets: np.ndarray):
     """(rows of bytes by length, index of a row's words): each text's words as indices of distinct words."""
     starts, ends, rows, h = words(buf, offsets)
     long = ends - starts > MAX_WORD - 1
-    if long.any():  # cut into parts of MAX_WORD - 1 bytes
-        parts = -(-(ends - starts) // (MAX_WORD - 1))
-        rows = np.repeat(rows, parts)
-        k = np.arange(len(rows)) - np.repeat(np.cumsum(parts) - parts, parts)
-        whole = np.repeat(ends, parts)
-        starts = np.repeat(starts, parts) + k * (MAX_WORD - 1)
-        ends = np.minimum(starts + MAX_WORD - 1, whole)
+    if long.any():  # cut into parts of at most MAX_WORD - 1 bytes
+        found = []
+        left = starts[long], ends[long], rows[long]
+        while len(left[0]):
+            at, whole, row = left
+            cut = next_cut(buf, at, whole)
+            found.append((at, cut, row))
+            left = tuple(x[cut < whole] for x in (cut, whole, row))
+        starts, ends, rows = (np.concatenate([old[~long], *new]) for old, new in zip((starts, ends, rows), zip(*found, strict=True), strict=True))
         p, q = powers(len(buf) + 1)
         total = np.zeros(len(buf) + 1, np.uint64)
         np.cumsum((LOWER[buf].astype(np.uint64) + np.uint64(1)) * p[: len(buf)], out=total[1:])
@@ -118,21 +141,28 @@ def distinct_words(buf: np.ndarray, offsets: np.ndarray):
     return starts[first], ends[first], rows, inverse
 
 
-def by_length(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray):
-    """(indices, bytes with a leading blank) of words of each length."""
+def by_length(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, languages: int):
+    """(indices, bytes with a leading blank) of words of each length, at most PASS_NUMBERS numbers at a time."""
     size = ends - starts
     for n in np.unique(size):
-        at = np.flatnonzero(size == n)
-        chars = np.full((len(at), n + 1), 32, np.uint8)
-        chars[:, 1:] = LOWER[buf[starts[at][:, None] + np.arange(n)[None, :]]]
-        yield at, chars
+        same, step = np.flatnonzero(size == n), max(1, PASS_NUMBERS // int((n + 2) * max(languages, 8)))
+        for at in (same[k : k + step] for k in range(0, len(same), step)):
+            yield at, word_bytes(buf, starts[at], n)
+
+
+def word_bytes(buf: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+    chars = np.full((len(starts), n + 1), 32, np.uint8)
+    chars[:, 1:] = LOWER[buf[starts[:, None] + np.arange(n)[None, :]]]
+    return chars
 
 
 def word_scores(table: PieceTable, probs: np.ndarray, buf, starts, ends) -> np.ndarray:
     """Log probability of each word in each language."""
     out = np.zeros((len(starts), probs.shape[1]))
-    for at, chars in by_length(buf, starts, ends):
-        out[at] = np.log(forward(probs, word_pieces(table, chars), chars.shape[1], len(at))[-1])
+    scaled = probs * SCALE ** table.sizes[:, None]
+    for at, chars in by_length(buf, starts, ends, probs.shape[1]):
+        n = chars.shape[1]
+        out[at] = np.log(forward(scaled, word_pieces(table, chars), n, len(at))[-1]) - n * np.log(SCALE)
     return out
 
 
@@ -148,21 +178,17 @@ def fit(texts: list[str], langs: list[str], rounds: int = ROUNDS) -> dict:
     starts, ends, rows, inverse = distinct_words(buf, offsets)
     counts = np.zeros((len(starts), len(names)))
     np.add.at(counts, (inverse, np.array([names.index(x) for x in langs])[rows]), 1)
-    groups = [(at, chars.shape[1], word_pieces(table, chars)) for at, chars in by_length(buf, starts, ends)]
+    groups = [(at, chars.shape[1], word_pieces(table, chars)) for at, chars in by_length(buf, starts, ends, len(names))]
     for _ in range(rounds):
-        expected = np.zeros_like(probs)
+        expected, scaled = np.zeros_like(probs), probs * SCALE ** table.sizes[:, None]
         for at, n, found in groups:
-            alpha, beta = forward(probs, found, n, len(at)), np.zeros((n + 1, len(at), len(names)))
+            alpha, beta = forward(scaled, found, n, len(at)), np.zeros((n + 1, len(at), len(names)))
             beta[n] = 1
-            for a, b, idx in sorted(found, key=lambda x: -x[0]):
-                has = np.flatnonzero(idx >= 0)
-                if len(has):
-                    beta[a][has] += beta[b][has] * probs[idx[has]]
+            for a, b, has, idx in sorted(found, key=lambda x: -x[0]):
+                beta[a][has] += beta[b][has] * scaled[idx]
             share = counts[at] / alpha[n]
-            for a, b, idx in found:
-                has = np.flatnonzero(idx >= 0)
-                if len(has):
-                    np.add.at(expected, idx[has], alpha[a][has] * probs[idx[has]] * beta[b][has] * share[has])
+            for a, b, has, idx in found:
+                np.add.at(expected, idx, alpha[a][has] * scaled[idx] * beta[b][has] * share[has])
         expected += 0.02
         probs = expected / expected.sum(0)
     return {"langs": names, "probs": probs}

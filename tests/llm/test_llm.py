@@ -260,6 +260,47 @@ def test_langid_forward_sums_segmentations():
     assert np.isclose(total, 0.1 * 0.2 * 0.3 + 0.1 * 0.25 + 0.15 * 0.3)
 
 
+def _naive_langid(model, text):
+    """(language, score) with every segmentation of each word summed in log space, piece by piece."""
+    at = {p: i for i, p in enumerate(langid.read_pieces())}
+    logs, means = np.log(model["probs"]), []
+    for w in re.findall(rb"[^\x20\x09-\x0D]+", text.encode()):
+        w = b" " + bytes(c + 32 if 65 <= c <= 90 else c for c in w)
+        sums = [np.zeros(logs.shape[1])]
+        for e in range(1, len(w) + 1):
+            sums.append(np.logaddexp.reduce([sums[b] + logs[at[w[b:e]]] for b in range(e) if w[b:e] in at]))
+        means.append(sums[-1])
+    mean = np.mean(means, axis=0)
+    share = np.exp(mean - mean.max())
+    return model["langs"][int(mean.argmax())], share.max() / share.sum()
+
+
+def test_langid_against_all_segmentations():
+    import pyarrow as pa
+
+    texts = ["international responsibility of the government", "die Verantwortung der Bundesregierung", "\u043f\u0440\u0430\u0432\u0438\u0442\u0435\u043b\u044c\u0441\u0442\u0432\u043e \u0441\u0442\u0440\u0430\u043d\u044b"]
+    model = langid.fit(texts, ["en", "de", "ru"])
+    asked = [*texts, "Responsibility", "z\u00fcrich " * 3 + "understanding", "q" * 47, "\u0441\u0442\u0440\u0430\u043d\u0430 x"]
+    langs, scores = langid.predict(model, langid.PieceTable(langid.read_pieces()), pa.array(asked))
+    want = [_naive_langid(model, x) for x in asked]
+    assert langs == [x for x, _ in want] and np.allclose(scores, [x for _, x in want], rtol=1e-9)
+    assert max(map(len, langid.read_pieces())) > 20
+
+
+@pytest.mark.parametrize("limit", [50, 333, 1 << 20])
+def test_langid_cuts_long_words_at_characters(limit):
+    import pyarrow as pa
+
+    from terrapanel.llm import common
+
+    text = "a \u65e5\u672c" * 3 + "x" + "\U0001f642\u65e5\u00e9" * 300 + " tail"
+    buf, offsets = common.text_buffer(pa.array([text]))
+    parts, _ = common.split_rows(buf, offsets, limit, langid.MAX_WORD - 1)
+    found = lambda x: {bytes(x[s:e]).decode() for s, e in zip(*langid.distinct_words(x, np.array([0, len(x)]))[:2], strict=True)}
+    got = set().union(*(found(buf[a:b]) for a, b in zip(parts[:-1], parts[1:], strict=True)))
+    assert got == found(buf) and 40 < max(len(x.encode()) for x in got) < langid.MAX_WORD
+
+
 def test_langid(spark):
     rows = [(i, ("the cat and the dog %d" if i % 2 else "der Hund und die Katze %d") % i, "en" if i % 2 else "de", "s", 0, 0) for i in range(60)] + [(900, None, None, "s", 0, 0), (901, "123 !!", "en", "s", 0, 0), (902, "", None, "s", 0, 0)]
     d = spark.createDataFrame(rows, SCHEMA)
