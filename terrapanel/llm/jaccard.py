@@ -9,14 +9,14 @@ the same band or the next. Inside a tile, the bit count of the difference of two
 parity bitmaps bounds the set difference from below, hence the overlap from
 above; pairs that pass have their sorted arrays intersected exactly.
 
-Three measures keep groups of copies from giving all their pairs while
-components are sought: equal sets are one class, which is one node;
-cheap keys (pairs of minima) link a class with the first holder of the
-key after exact verification; tiles then only compare classes that these
-links have not put into one component yet, which can't change any component. A
-tile of many rows is dealt into cells, pairs of its parts, so that no task
-holds a whole one. All links of each class are then counted inside the
-components (link_counts).
+No step gives all pairs of a group of copies. Equal sets are one class, which is
+one node; cheap keys (pairs of minima) link a class with the first holder of the
+key after exact verification. Tiles compare classes that these links have not
+put into one tree yet, and a cell (a tile, or a pair of parts of a large one, so
+that no task holds a whole one) gives only a forest of the pairs that its bit
+counts leave possible: fewer rows than it read. All links lie inside the
+components of these forests. There all pairs are intersected exactly, a block in
+a task, which gives each class's number of links and a forest of the links.
 
 Defined cases: null, empty and white-space texts have an empty set and link with
 nothing; a text of fewer words than a shingle has its whole sequence as one;
@@ -255,29 +255,47 @@ def verified(pairs: DataFrame, reps: DataFrame, source: Source) -> DataFrame:
     return joined.select("a", "b", "sa", "sb").mapInArrow(test, "a long, b long").distinct()
 
 
-def _tile_pairs(percent: int):
-    """Kernel over rows sorted by cell (key, band, x, y) and size: candidate pairs of different components.
+def _root(roots: list[int], x: int) -> int:
+    while roots[x] != x:
+        roots[x] = x = roots[roots[x]]
+    return x
+
+
+def _tile_forest(percent: int):
+    """Kernel over rows sorted by cell (key, band, x, y) and size: a forest of each cell's candidate pairs between different components.
 
     Rows of a cell are of part x or y of a tile; pairs are of different parts, or of any two rows where x is y.
+    Candidates inside one tree of the forest add nothing to its components and are neither tested nor given.
     """
 
     def pairs_of(cell, apart, part, home, n, comp, node, sig):
         found = []
         narrow = _bitmaps(sig, False)
         i = np.arange(len(cell))
+        _, tree = np.unique(comp, return_inverse=True)
+        _, tree = np.unique(cell * (tree.max() + 1) + tree, return_inverse=True)
+        roots = list(range(int(tree.max()) + 1))
         for o in range(1, len(cell)):
             i = i[i + o < len(cell)]
             i = i[(cell[i] == cell[i + o]) & (percent * n[i + o] <= 100 * n[i])]  # by size: what is too far apart stays so
             if not len(i):
                 break
-            k = i[(home[i] | home[i + o]) & (comp[i] != comp[i + o]) & (~apart[i] | (part[i] != part[i + o]))]
+            k = i[(home[i] | home[i + o]) & (tree[i] != tree[i + o]) & (~apart[i] | (part[i] != part[i + o]))]
             total = n[k] + n[k + o]
             most = (total - np.bitwise_count(narrow[k] ^ narrow[k + o]).sum(1, dtype=np.int64)) // 2  # overlap's upper bound
             k = k[100 * most >= percent * (total - most)]
             if len(k):
                 k = k[may_link(n[k], n[k + o], [sig[x] for x in k], [sig[x + o] for x in k], percent)]
-                found.append(np.stack([np.minimum(node[k], node[k + o]), np.maximum(node[k], node[k + o])], 1))
-        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+            before = len(found)
+            for x in k.tolist():
+                u, v = _root(roots, int(tree[x])), _root(roots, int(tree[x + o]))
+                if u != v:
+                    roots[max(u, v)] = min(u, v)
+                    found.append(x if node[x] < node[x + o] else x + o)
+                    found.append(x + o if node[x] < node[x + o] else x)
+            if len(found) > before:
+                tree = np.array([_root(roots, x) for x in range(len(roots))])[tree]
+        return node[np.array(found, np.int64)].reshape(-1, 2)
 
     @tidy
     def run(batches):
@@ -320,37 +338,50 @@ def _share_of(parts):
     return F.pmod(F.xxhash64(F.col("node"), F.lit("part")), parts).cast("int")
 
 
-def tile_candidates(named: DataFrame, percent: int, n_rows: int) -> DataFrame:
-    """Pairs (a, b) of named (node, comp, n, sig, prefix) that meet in a tile, are of different components and pass the bit counts."""
-    spark = named.sparkSession
-    parts = shuffle_partitions(spark)
-    rows = named.select("node", "comp", F.explode("prefix").alias("key"))
-    shared = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("c")).where("low < high")
-    shared = materialize(shared.select("key", "c", F.ceil(F.col("c") / TILE).cast("int").alias("parts")), "shared")
-    meet = lookup(rows.select("key", "node"), shared, "key", shared.where(F.col("c") > n_rows / (8 * parts)).select("key")).where("parts is not null")
-    meet = meet.join(named.select("node", "comp", "n", "sig"), "node").withColumn("part", _share_of(F.col("parts"))).withColumn("cell", F.explode(_cells("part", "parts")))
-    meet = meet.withColumn("own", _band(percent)).withColumn("band", F.explode(F.array(F.col("own"), F.col("own") + 1))).withColumn("home", (F.col("own") == F.col("band")).cast("int"))
-    tiles = meet.select("key", "band", "cell.x", "cell.y", "part", "home", "n", "comp", "node", "sig").repartition(parts, "key", "band", "x", "y").sortWithinPartitions("key", "band", "x", "y", "n", "node")
-    return tiles.mapInArrow(_tile_pairs(percent), "a long, b long")
-
-
-def _count_links(percent: int):
-    """Of one unit, its components one after another: each node's links from the left side to the right one, or inside one side."""
-
-    def links(left, right, flat, n, found, starts, ends, code, mark):
-        for k in left:
-            own = code[ends[k] - n[k] : ends[k]]
-            mark[own] = 1
-            both = np.add.reduceat(mark[flat], starts)
-            mark[own] = 0
-            link = (100 * both >= percent * (n[k] + n[right] - both)) & (right != k)
-            found[k] += link.sum()
-            yield link
-
-    def count(table: pa.Table) -> pa.Table:
-        comp, left_side, node = table.column("comp").to_numpy(), table.column("left").to_numpy(), table.column("node").to_numpy()
+def tile_candidates(named: DataFrame, percent: int) -> DataFrame:
+    """Of named (node, comp, n, sig, prefix), pairs (a, b) of different components that meet in a tile and pass the bit counts: a forest of each cell's.
+
+    The prefixes are dealt by key once, without their signatures; what meets no
+    other component in its key, then in its key and band, goes no further. Nor
+    does what has no possible partner there: of a pair that links, the first hash
+    that both hold leaves enough hashes behind it only if, in the smaller set
+    (of equal sizes: in both), it is among the first n - ceil(2 t n / (1 + t)) + 1.
+    """
+    w = W.partitionBy("key")
+    rows = named.select("node", "comp", "n", F.posexplode("prefix").alias("pos", "key"))
+    early = F.col("pos") <= F.col("n") - F.ceil(F.lit(2 * percent) * F.col("n") / F.lit(100 + percent) - F.lit(1e-9))
+    rows = rows.select("node", "comp", "n", "key", early.alias("early"))
+    rows = rows.withColumn("low", F.min("comp").over(w)).withColumn("high", F.max("comp").over(w)).where("low < high")
+    rows = rows.withColumn("own", _band(percent)).withColumn("band", F.explode(F.array(F.col("own"), F.col("own") + 1))).withColumn("home", (F.col("own") == F.col("band")).cast("int"))
+    w = W.partitionBy("key", "band")
+    rows = rows.withColumn("low", F.min("comp").over(w)).withColumn("high", F.max("comp").over(w)).withColumn("homes", F.max("home").over(w)).withColumn("c", F.count("*").over(w))
+    by_size = w.orderBy("n", "node")
+    before = F.max(F.when(F.col("early"), F.col("n"))).over(by_size.rowsBetween(W.unboundedPreceding, -1))
+    rows = rows.withColumn("before", before).withColumn("after", F.lead("n").over(by_size)).where("low < high and homes = 1")
+    rows = rows.where((100 * F.col("before") >= percent * F.col("n")) | F.col("early") & (percent * F.col("after") <= 100 * F.col("n")))
+    meet = rows.withColumn("parts", F.ceil(F.col("c") / TILE).cast("int")).withColumn("part", _share_of(F.col("parts"))).withColumn("cell", F.explode(_cells("part", "parts")))
+    meet = meet.select("key", "band", "cell.x", "cell.y", "part", "home", "n", "comp", "node").join(named.select("node", "sig"), "node")
+    tiles = meet.repartition(shuffle_partitions(named.sparkSession), "key", "band", "x", "y").sortWithinPartitions("key", "band", "x", "y", "n", "node")
+    return tiles.mapInArrow(_tile_forest(percent), "a long, b long")
+
+
+def _links_inside(percent: int, counted: bool):
+    """Of one unit, its components one after another: a forest of the links between its trees; if counted, each node's links, too.
+
+    Links are those from the left side to the right one, or inside one side.
+    """
+
+    def links(k, right, flat, n, starts, ends, code, mark):
+        own = code[ends[k] - n[k] : ends[k]]
+        mark[own] = 1
+        both = np.add.reduceat(mark[flat], starts)
+        mark[own] = 0
+        return (100 * both >= percent * (n[k] + n[right] - both)) & (right != k)
+
+    def run(table: pa.Table) -> pa.Table:
+        comp, left_side, node, trees = table.column("comp").to_numpy(), table.column("left").to_numpy(), table.column("node").to_numpy(), table.column("tree").to_numpy()
         right_side, bands = table.column("right").to_numpy(), table.column("s").combine_chunks()
-        found = np.zeros(len(node), np.int64)
+        found, forest = np.zeros(len(node), np.int64), []
         order = np.argsort(comp, kind="stable")
         cuts = [*np.flatnonzero(np.append(True, comp[order][1:] != comp[order][:-1])).tolist(), len(order)]
         for u, v in zip(cuts, cuts[1:], strict=False):
@@ -362,27 +393,40 @@ def _count_links(percent: int):
             left, right = np.flatnonzero(left_side[at]), np.flatnonzero(right_side[at])
             if not len(left) or not len(right):
                 continue
-            flat = np.concatenate([code[ends[k] - n[k] : ends[k]] for k in right])
-            starts = np.cumsum(n[right]) - n[right]
-            own, mark = np.zeros(len(at), np.int64), np.zeros(code.max() + 1, np.int64)
+            own, mark, tree = np.zeros(len(at), np.int64), np.zeros(code.max() + 1, np.int64), trees[at].copy()
             inside = bool((left_side[at] & right_side[at]).any())
-            for link in links(left, right, flat, n, own, starts, ends, code, mark):
+            with_, flat, starts = right[:0], None, None
+            for k in left:
+                to = right if counted else right[tree[right] != tree[k]]
+                if not len(to):
+                    continue
+                if len(to) != len(with_) or (to != with_).any():
+                    with_, flat, starts = to, np.concatenate([code[ends[r] - n[r] : ends[r]] for r in to]), np.cumsum(n[to]) - n[to]
+                link = links(k, to, flat, n, starts, ends, code, mark)
+                own[k] += link.sum()
                 if not inside:
-                    own[right] += link
+                    own[to] += link
+                other = to[link & (tree[to] != tree[k])]
+                if len(other):
+                    joined, first = np.unique(tree[other], return_index=True)
+                    forest += zip([k] * len(first), other[first].tolist(), [u] * len(first), strict=True)
+                    tree[np.isin(tree, joined)] = tree[k]
             found[at] += own
-        return pa.table({"node": pa.array(node), "n_links": pa.array(found)})
+        a, b = (node[order[np.array([x[j] + x[2] for x in forest], np.int64)]] for j in (0, 1))
+        return pa.table({"node": np.concatenate([node, a]), "n_links": np.concatenate([found, np.zeros(len(a), np.int64)]), "other": pa.concat_arrays([pa.nulls(len(node), pa.int64()), pa.array(b, pa.int64())])})
 
-    return count
+    return run
 
 
-def link_counts(members: DataFrame, source: Source) -> DataFrame:
-    """(node, n_links): how many others of its component each of members (node, at, class_key, n, comp) links to, exactly.
+def exact_links(members: DataFrame, source: Source, counted: bool) -> DataFrame:
+    """(node, n_links, other) of members (node, at, class_key, n, comp, tree), by intersecting their sets inside each comp.
 
-    Links only join members of one component. Components of up to BLOCK hashes
-    are dealt whole, many to a task. The members of a larger one go by bands of
-    size into parts of about BLOCK hashes, and pairs of parts of one band or two
-    that follow each other are counted in a task each: pairs of documents are
-    never rows.
+    Rows with other are links between different trees, a forest of them from each
+    task. If counted, the n_links of a node sum up to its links to all others of its comp.
+    Components of up to BLOCK hashes are dealt whole, many to a task. The members of
+    a larger one go by bands of size into parts of about BLOCK hashes, and pairs of
+    parts of one band or two that follow each other are compared in a task each:
+    pairs of documents are never rows.
     """
     percent = source.percent
     members = members.withColumn("w", F.col("n") + 256).withColumn("band", _band(percent))
@@ -407,11 +451,10 @@ def link_counts(members: DataFrame, source: Source) -> DataFrame:
     every = [x.cast(shape) for x in (whole, same, above, below)]
     empty = F.array().cast(shape)
     units = F.when(F.col("wide"), F.concat(every[1], F.coalesce(every[2], empty), F.coalesce(every[3], empty))).otherwise(every[0])
-    placed = materialize(placed.select("node", "at", "class_key", "comp", units.alias("units")), "placed")
-    rows = placed.select("node", "comp", F.explode("units").alias("u")).join(source.sets(placed.select("node", "at", "class_key")), "node")
-    rows = rows.select("node", "comp", "s", *[F.col(f"u.{c}").alias(c) for c in names])
-    counted = rows.groupBy(*names[:5]).applyInArrow(_count_links(percent), "node long, n_links long")
-    return counted.groupBy("node").agg(F.sum("n_links").alias("n_links"))
+    placed = materialize(placed.select("node", "at", "class_key", "comp", "tree", units.alias("units")), "placed")
+    rows = placed.select("node", "comp", "tree", F.explode("units").alias("u")).join(source.sets(placed.select("node", "at", "class_key")), "node")
+    rows = rows.select("node", "comp", "tree", "s", *[F.col(f"u.{c}").alias(c) for c in names])
+    return rows.groupBy(*names[:5]).applyInArrow(_links_inside(percent, counted), "node long, n_links long, other long")
 
 
 def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80, links_too: bool = True) -> DataFrame:
@@ -447,14 +490,18 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80, links_too:
     comps = connected_components(links)
 
     named = reps.select("node", "n", "sig", "prefix").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    more = materialize(verified(tile_candidates(named, percent, n_docs), reps, source), "links")
-
-    final = connected_components(links.union(more).distinct())
-    linked = reps.select("node", "at", "class_key", "n", "class_id", "keeper").join(final, "node")
+    maybe = connected_components(materialize(tile_candidates(named, percent), "maybe").union(links))
+    members = reps.select("node", "at", "class_key", "n").join(maybe, "node").join(comps.withColumnRenamed("comp", "tree"), "node", "left").withColumn("tree", F.coalesce("tree", "node"))
+    if not links_too:  # what cheap keys have linked already needs no other link
+        members = members.join(members.groupBy("comp").agg(F.min("tree").alias("low"), F.max("tree").alias("high")).where("low < high").select("comp"), "comp", "left_semi")
+    inside = materialize(exact_links(materialize(members, "members"), source, links_too), "inside")
+
+    final = connected_components(links.union(inside.where("other is not null").select("node", "other")))
+    linked = reps.select("node", "class_key", "class_id", "keeper").join(final, "node")
     comp_of = linked.groupBy("comp").agg(F.min("class_id").alias("component_id"), F.min("keeper").alias("keeper"))
     linked = lookup(linked.drop("keeper"), materialize(comp_of, "components"), "comp")
     if links_too:
-        linked = linked.join(link_counts(linked.select("node", "at", "class_key", "n", "comp"), source), "node", "left")
+        linked = linked.join(inside.groupBy("node").agg(F.sum("n_links").alias("n_links")), "node", "left")
     several = reps.where("copies > 1").join(final, "node", "left_anti").select("class_key", "class_id", F.col("class_id").alias("component_id"), "keeper", *[F.lit(0).cast("long").alias("n_links")] * links_too)
     classes = materialize(linked.select(*several.columns).union(several), "classes")
     often = reps.where(F.col("copies") > n_docs / (8 * parts)).select("class_key")

@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from terrapanel.llm import bpe, fingerprints, jaccard, langid, packing, pii, quality, suffix_dedup, topk, url_filters
@@ -109,6 +110,43 @@ def test_jaccard_counts_every_link(spark, block, monkeypatch):
     assert {r.doc_id: r.n_links for r in jaccard.similar_groups(d, 4, 85).collect()} == want
 
 
+def test_tiles_of_near_copies_give_forests():
+    n = 300
+    cols = {c: pa.array(np.zeros(n, np.int64)) for c in ("key", "band", "x", "y", "part")}
+    sets = [np.unique(np.random.default_rng(i).integers(0, 1 << 63, 4)) for i in range(n)]
+    sig = [jaccard.signature(np.concatenate([np.arange(100, dtype=np.uint64) << np.uint64(20), s.astype(np.uint64)])) for s in sets]
+    rows = pa.RecordBatch.from_pydict(cols | {"home": pa.array(np.ones(n, np.int64)), "n": pa.array(np.full(n, 104)), "comp": pa.array(np.arange(n) // 2), "node": pa.array(np.arange(n)), "sig": pa.array(sig)})
+    found = [p for out in jaccard._tile_forest(85)([rows]) for p in zip(*(c.to_pylist() for c in out.columns), strict=True)]
+    assert len(found) == n // 2 - 1  # all 44,700 pairs pass the bit counts
+    labels = list(range(n // 2))
+    for a, b in found:
+        labels = [labels[a // 2] if x == labels[b // 2] else x for x in labels]
+    assert len(set(labels)) == 1
+
+
+@pytest.mark.parametrize("counted", [True, False])
+def test_exact_links_inside_components(counted):
+    sets = [list(range(100)), list(range(2, 102)), list(range(50, 150)), list(range(52, 152)), list(range(4, 104)), list(range(300, 400))]
+    side = pa.array([True] * 6)
+    rows = pa.table({"comp": pa.array([7] * 5 + [8]), "left": side, "right": side, "node": pa.array(range(6)), "tree": pa.array(range(6)), "s": pa.array([np.array(s, np.uint64).tobytes() for s in sets])})
+    out = jaccard._links_inside(85, counted)(rows).to_pylist()
+    forest = {frozenset((r["node"], r["other"])) for r in out if r["other"] is not None}
+    assert forest == {frozenset(p) for p in ((0, 1), (0, 4), (2, 3))}
+    if counted:
+        assert [sum(r["n_links"] for r in out if r["node"] == i) for i in range(6)] == [2, 2, 1, 1, 2, 0]
+
+
+def test_components_without_the_driver(spark, monkeypatch):
+    from terrapanel.llm import common
+
+    pairs = [(3, 4), (4, 9), (10, 12), (12, 11), (9, 1), (20, 20)]
+    frame = spark.createDataFrame(pairs, "a long, b long")
+    want = {1: 1, 3: 1, 4: 1, 9: 1, 10: 10, 11: 10, 12: 10}
+    for small in (common.SMALL, 0):
+        monkeypatch.setattr(common, "SMALL", small)
+        assert {r.node: r.comp for r in common.connected_components(frame).collect()} == want
+
+
 def test_components_of_long_chains(spark):
     from terrapanel.llm.common import connected_components
 
