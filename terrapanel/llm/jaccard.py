@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, broadcast_if_small, connected_components, lookup, materialize, mix64, row_chunks, scratch_scope, shuffle_partitions, split_rows, text_buffer, tidy, words
+from .common import SMALL, bounded_batches, broadcast_if_small, connected_components, lookup, materialize, mix64, row_chunks, scratch_scope, shuffle_partitions, split_rows, text_buffer, tidy, words
 
 #: A hash is common from this share of the documents on; common hashes come last in the order.
 COMMON = 0.001
@@ -210,7 +210,8 @@ class Source:
                 yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), pa.array(sets, pa.binary())], ["class_key", "s"])
 
         # the class itself tells a node's own text from another of the same hash
-        return some.select("text").mapInArrow(as_sets, "class_key binary, s binary").join(nodes.select("node", "class_key"), "class_key").select("node", "s")
+        named = broadcast_if_small(nodes.select("node", "class_key"), n, SMALL)  # sets are shuffled once, by node
+        return some.select("text").mapInArrow(as_sets, "class_key binary, s binary").join(named, "class_key").select("node", "s")
 
 
 def _at():
