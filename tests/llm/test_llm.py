@@ -136,6 +136,15 @@ def test_exact_links_inside_components(counted):
         assert [sum(r["n_links"] for r in out if r["node"] == i) for i in range(6)] == [2, 2, 1, 1, 2, 0]
 
 
+def test_topk_bounds_its_arrow_batches(spark):
+    from terrapanel.llm.common import BATCH_BYTES
+
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    frame = spark.createDataFrame([(i, [i, 1]) for i in range(9)], "vec_id long, v array<long>")
+    assert topk.top_k(frame, frame.where("vec_id = 3"), 2).count() == 2
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) == BATCH_BYTES
+
+
 def test_components_without_the_driver(spark, monkeypatch):
     from terrapanel.llm import common
 
