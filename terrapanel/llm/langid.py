@@ -31,7 +31,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import LOWER, bounded_batches, mix64, powers, row_chunks, split_rows, text_buffer, tidy, words
+from .common import LOWER, bounded_batches, mix64, powers, release, row_chunks, split_rows, text_buffer, tidy, words
 
 VOCABULARY = "piece_bpe_32k.model"
 MAX_WORD, SCALE = 48, 4096.0
@@ -245,6 +245,14 @@ def labelled_sample(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], l
     return [r.text for r in found], [r.lang for r in found]
 
 
+def learned(docs: DataFrame) -> dict:
+    """The model of docs' labelled sample; the driver gives back what learning took beside it (some 150 MB)."""
+    try:
+        return fit(*labelled_sample(docs))
+    finally:
+        release()
+
+
 def identify(docs: DataFrame, model: dict) -> DataFrame:
     """docs with lang_pred and score."""
     bounded_batches(docs.sparkSession)
@@ -267,6 +275,6 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
 
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long"), "text", "lang")
-    model = fit(*labelled_sample(docs))
+    model = learned(docs)
     out = identify(docs.select("doc_id", "text"), model)
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
